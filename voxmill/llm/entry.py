@@ -21,11 +21,49 @@ def op2_packing(spark, sf_dir):
     return with_crc(pack_documents(_docs(spark, sf_dir)))
 
 
+def op3_pii(spark, sf_dir):
+    from voxmill.llm.pii import find_personal_data, span_digest
+
+    return span_digest(find_personal_data(_docs(spark, sf_dir)))
+
+
+def op5_quality(spark, sf_dir):
+    from voxmill.llm.quality import apply_quality
+
+    return apply_quality(_docs(spark, sf_dir)).drop("host")
+
+
+def op6_mixing(spark, sf_dir):
+    from voxmill.llm.mixing import taken_words
+
+    return taken_words(_docs(spark, sf_dir))
+
+
+def op7_language(spark, sf_dir):
+    from voxmill.llm.langid import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
+def op8_simhash(spark, sf_dir):
+    from voxmill.llm.simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_token_counts(spark, sf_dir):
     from voxmill.llm.token_counts import count_tokens
 
     return count_tokens(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_pii, op5_quality, op6_mixing, op7_language, op8_simhash, op10_token_counts)}
+
+
+def oracles() -> dict[str, str]:
+    from voxmill.llm import quality
+
+    return {"op5_quality": quality.SQL}
+
+
+ORACLES: dict[str, str] = oracles()
