@@ -27,6 +27,12 @@ def op3_pii(spark, sf_dir):
     return span_digest(find_personal_data(_docs(spark, sf_dir)))
 
 
+def op4_token_files(spark, sf_dir):
+    from voxmill.llm.token_files import token_file_digest
+
+    return token_file_digest(_docs(spark, sf_dir))
+
+
 def op5_quality(spark, sf_dir):
     from voxmill.llm.quality import apply_quality
 
@@ -51,19 +57,25 @@ def op8_simhash(spark, sf_dir):
     return near_duplicates(_docs(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_embeddings(spark, sf_dir):
+    from voxmill.llm.embed_dedup import link_embeddings
+
+    return link_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_token_counts(spark, sf_dir):
     from voxmill.llm.token_counts import count_tokens
 
     return count_tokens(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_pii, op5_quality, op6_mixing, op7_language, op8_simhash, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_pii, op4_token_files, op5_quality, op6_mixing, op7_language, op8_simhash, op9_embeddings, op10_token_counts)}
 
 
 def oracles() -> dict[str, str]:
-    from voxmill.llm import quality
+    from voxmill.llm import embed_dedup, quality
 
-    return {"op5_quality": quality.SQL}
+    return {"op5_quality": quality.SQL, "op9_embeddings": embed_dedup.SQL}
 
 
 ORACLES: dict[str, str] = oracles()
