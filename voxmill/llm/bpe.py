@@ -23,8 +23,31 @@ _ASCII = re.compile(r"([A-Za-z]+)([.,;:!?#*$%&]*)")
 
 
 class Limits(NamedTuple):
-    words: int = 500_000
-    runs: int = 400_000
+    words: int = 250_000
+    runs: int = 500_000
+
+
+class Recent(dict):
+    """A bounded map of two generations: a full young one becomes the old one, whose entries come back when asked for."""
+
+    def __init__(self, limit: int, fixed: dict | None = None):
+        super().__init__(fixed or {})
+        self.limit, self.fixed, self.old = limit, dict(fixed or {}), {}
+
+    def absent(self, keys, n: int) -> list:
+        """Which of ``n`` keys are in neither generation; the others are in the young one afterwards, and there is room for all."""
+        if len(self) + n > self.limit + len(self.fixed):
+            self.old = dict(self)
+            self.clear()
+            self.update(self.fixed)
+        old, out = self.old, []
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    out.append(k)
+        return out
 
 
 def load(path: str):
@@ -63,11 +86,10 @@ class ByteBpe:
     """Ids of whole texts. Caches are bounded: a full one is emptied and fills again."""
 
     def __init__(self, path: str, limits: Limits = Limits()):
-        self.tok, self.limits = load(path), limits
+        self.tok = load(path)
         if max(self.tok.get_vocab().values()) >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits an id")
-        self.words: dict[str, bytes | None] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.words, self.runs = Recent(limits.words), Recent(limits.runs, {"": b""})
         self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -75,8 +97,6 @@ class ByteBpe:
 
     def _learn(self, missing: list[str]) -> None:
         """Fill ``words`` for chunks as ``encode`` cuts them: a line feed marks a line's first word."""
-        if len(self.words) + len(missing) > self.limits.words:
-            self.words = {}
         plans = []
         for w in missing:
             m = _SIMPLE.fullmatch(w)
@@ -89,11 +109,8 @@ class ByteBpe:
                 self.words[w] = None
             else:
                 plans.append((w, first, body if first else " " + body, ""))
-        want = {p for plan in plans for p in plan[2:]}.difference(self.runs)
-        if len(self.runs) + len(want) > self.limits.runs:
-            self.runs = {"": b""}
-            want = {p for plan in plans for p in plan[2:] if p}
-        order, runs = list(want), self.runs
+        want, runs = {p for plan in plans for p in plan[2:]}, self.runs
+        order = runs.absent(want, len(want))
         runs.update(zip(order, self._encode(order)))
         for w, first, run, tail in plans:
             self.words[w] = self.newline + runs[run] + runs[tail] if first else runs[run] + runs[tail]
@@ -103,14 +120,9 @@ class ByteBpe:
         texts = pc.fill_null(texts, "")
         cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         at, words, index = _flat(pc.split_pattern(cut, " "))
-        missing = [w for w in words if w not in self.words]
-        have = self.words
-        if missing:
-            known = [(w, have[w]) for w in words if w in have] if len(have) + len(missing) > self.limits.words else []
+        if missing := self.words.absent(words, len(words)):
             self._learn(missing)
-            self.words.update(known)
-            have = self.words
-        ids = [have[w] for w in words]
+        ids = list(map(self.words.__getitem__, words))
         odd = np.array([i is None for i in ids], bool)
         if odd.any():
             rows = np.flatnonzero(np.add.reduceat(odd[index], at[:-1]) > 0)
@@ -138,9 +150,8 @@ class WordCounter:
     """
 
     def __init__(self, path: str, table: dict[str, int] | None = None, limits: Limits = Limits()):
-        self.tok, self.limits, self.table = load(path), limits, dict(table or {})
-        self.words: dict[str, int | None] = dict(self.table)
-        self.runs: dict[str, int] = {"": 0}
+        self.tok = load(path)
+        self.words, self.runs = Recent(limits.words, table), Recent(limits.runs, {"": 0})
 
     def _count(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,11 +166,8 @@ class WordCounter:
                 self.words[w] = None
             else:
                 plans.append((w, w, ""))
-        want = {p for plan in plans for p in plan[1:]}.difference(self.runs)
-        if len(self.runs) + len(want) > self.limits.runs:
-            self.runs = {"": 0}
-            want = {p for plan in plans for p in plan[1:] if p}
-        order, runs = list(want), self.runs
+        want, runs = {p for plan in plans for p in plan[1:]}, self.runs
+        order = runs.absent(want, len(want))
         runs.update(zip(order, self._count(order)))
         for w, run, tail in plans:
             self.words[w] = runs[run] + runs[tail]
@@ -167,11 +175,7 @@ class WordCounter:
     def count(self, texts: pa.Array) -> np.ndarray:
         texts = pc.fill_null(texts, "")
         at, words, index = _flat(pc.ascii_split_whitespace(texts))
-        missing = [w for w in words if w not in self.words]
-        if missing:
-            if len(self.words) + len(missing) > self.limits.words + len(self.table):
-                self.words = dict(self.table)
-                missing = [w for w in words if w not in self.words]
+        if missing := self.words.absent(words, len(words)):
             self.learn(missing)
         n = np.array([-1 if (k := self.words[w]) is None else k for w in words], "int64")[index]
         odd = np.concatenate([[0], np.cumsum(n < 0)])
