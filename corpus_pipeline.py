@@ -1,11 +1,54 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: language ID, near-dedup, PII masking, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
+last return the columns of ``documents``. A caller may write what a stage returns and read it
+again as the next one's ``docs``; ``run`` does so itself, which also ends each stage's lineage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxmill.llm._common import materialize
+from voxmill.llm.langid import identify_rows
+from voxmill.llm.mixing import mixed_documents
+from voxmill.llm.packing import pack_documents, with_crc
+from voxmill.llm.pii import masked_documents
+from voxmill.llm.simhash import near_duplicate_representatives
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: those that the classifier calls 'und'."""
+    return identify_rows(docs).where("_lang_pred <> 'und'").select(*docs.columns)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one document stays, the one with the least doc_id."""
+    return near_duplicate_representatives(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind in brackets."""
+    return masked_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw blocks of the sources to their target weights; a document is as long as what was drawn of it."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack into sequences of 1024 tokens; pieces by document with a checksum of their ids."""
+    return with_crc(pack_documents(docs))
+
+
+STAGES = [("language ID", language), ("SimHash near-dedup", dedup), ("PII", pii), ("mixing", mixture), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage_" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

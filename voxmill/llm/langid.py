@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes as the kernel sees them: ASCII letters in lower case, bytes of other letters as they are, all else a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -147,7 +148,7 @@ def training_rows(docs: DataFrame, per_label: int = 400, most_labels: int = 1000
 _MODELS: dict = {}
 
 
-def _scoring(shared, key: str):
+def _scoring(shared, key: str, at: int):
     def run(batches):
         if key not in _MODELS:
             names, codes, marks, weights = shared.value
@@ -156,36 +157,41 @@ def _scoring(shared, key: str):
             _MODELS[key] = Model(names, table, size, marks, weights)
         model = _MODELS[key]
         for b in batches:
-            texts = pc.fill_null(b.column(b.num_columns - 1).cast(pa.binary()), b"")
+            texts = pc.fill_null(b.column(at).cast(pa.binary()), b"")
             langs, scores = [], []
             for i in range(0, len(texts), 128):
                 lang, score = predict(model, texts[i : i + 128].to_pylist())
                 langs += lang
                 scores += score
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang_pred", "_lang_score"])
 
     return run
 
 
-def identify(docs: DataFrame, per_label: int = 400, landmarks: int = 256, spectrum: int = 12_000, longest: int = 3) -> DataFrame:
-    """Predicted language of every whole text, learned from the labelled rows of ``docs``.
+def identify_rows(docs: DataFrame, per_label: int = 400, landmarks: int = 256, spectrum: int = 12_000, longest: int = 3) -> DataFrame:
+    """``docs`` with ``_lang_pred`` and ``_lang_score``, learned from its own labelled rows.
 
     Training takes at most ``per_label`` rows of a label (see ``training_rows``); labels,
     source and doc_id are no inputs of a prediction. The broadcast model is bounded by
     ``landmarks`` and ``spectrum``. Scores are products of batches with the landmarks.
-
-    Returns doc_id, held_out, lang_pred ('und' for texts that are null or have no letter, or
-    if there is nothing to learn from), score from 0 to 1. A null doc_id hashes as an empty
-    string. Repeated rows are scored one by one. An empty table gives an empty result; other
-    columns are ignored.
     """
     spark = docs.sparkSession
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = training_rows(known, per_label)
-    narrow = known.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), "text")
+    rows = training_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_label)
     if not rows:
-        return narrow.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.withColumns({"_lang_pred": F.lit("und"), "_lang_score": F.lit(0.0)})
     model = fit([r["text"].encode() for r in rows], [r["lang"] for r in rows], landmarks, spectrum, longest)
     codes = [np.flatnonzero(t >= 0) for t in model.table]
     shared = spark.sparkContext.broadcast((model.labels, codes, model.landmarks, model.weights))
-    return narrow.mapInArrow(_scoring(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return docs.mapInArrow(_scoring(shared, uuid.uuid4().hex, docs.columns.index("text")), schema)
+
+
+def identify(docs: DataFrame, **how) -> DataFrame:
+    """Predicted language of every whole text: doc_id, held_out, lang_pred, score from 0 to 1.
+
+    A text that is null or has no letter is 'und' with score 0, and so are all if there is
+    nothing to learn from. A null doc_id hashes as an empty string. Repeated rows are scored
+    one by one. An empty table gives an empty result; other columns are ignored.
+    """
+    scored = identify_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))

@@ -186,3 +186,27 @@ def near_duplicates(docs: DataFrame, tile: int = 4096) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return marks.join(of_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicate_representatives(docs: DataFrame, tile: int = 4096) -> DataFrame:
+    """One document of each component of near-duplicates: least doc_id, then first by a row number.
+
+    Columns are those of ``docs``; texts are scanned twice and shuffled once at most.
+    """
+    kept = materialize(docs.withColumn("_dup_row", F.monotonically_increasing_id()), "simhash_text")
+    # rows stand in for doc_ids, in their order, so that repeated rows are told apart
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.col("_dup_row").alias("r"))
+    narrow = kept.select("_dup_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = materialize(narrow.mapInArrow(_row_fingerprints, "_dup_row long, doc_id long, fp long"), "simhash")
+    nodes = materialize(marks.groupBy("fp").agg(F.min(order).alias("least")), "simhash_nodes")
+    roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias("r"))
+    return kept.join(materialize(chosen, "simhash_kept"), kept["_dup_row"] == F.col("r"), "left_semi").select(*docs.columns)
+
+
+def _row_fingerprints(batches):
+    for b in batches:
+        texts = pc.fill_null(b.column(2).cast(pa.binary()), b"")
+        prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["_dup_row", "doc_id", "fp"])
