@@ -221,7 +221,7 @@ def mixed_documents(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """
     kept = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_text")
     parts = taken_blocks(mix(kept, block=block, row="_mix_row", **how), block).where("times > 0")
-    lists = parts.groupBy("rid").agg(F.collect_list(F.struct("first", "words", "times")).alias("_mix_parts"))
-    both = kept.join(lists, kept["_mix_row"] == lists["rid"]).select(*docs.columns, "_mix_parts")
+    lists = parts.groupBy(F.col("rid").alias("_mix_rid")).agg(F.collect_list(F.struct("first", "words", "times")).alias("_mix_parts"))
+    both = kept.join(lists, F.col("_mix_row") == F.col("_mix_rid")).select(*docs.columns, "_mix_parts")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return both.mapInArrow(_copies(docs.columns, docs.columns.index("text"), chars), docs.schema)

@@ -164,8 +164,8 @@ def span_digest(found: DataFrame) -> DataFrame:
 def masked_documents(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of spans that overlap the first stands for all."""
     kept = materialize(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "pii_text")
-    found = find_personal_data(kept, "_pii_row", **how).where(F.size("spans") > 0).select("rid", F.col("spans").alias("_pii_spans"))
-    joined = kept.join(found, kept["_pii_row"] == found["rid"], "left")
+    found = find_personal_data(kept, "_pii_row", **how).where(F.size("spans") > 0).select(F.col("rid").alias("_pii_rid"), F.col("spans").alias("_pii_spans"))
+    joined = kept.join(found, F.col("_pii_row") == F.col("_pii_rid"), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):

@@ -201,8 +201,8 @@ def near_duplicate_representatives(docs: DataFrame, tile: int = 4096) -> DataFra
     nodes = materialize(marks.groupBy("fp").agg(F.min(order).alias("least")), "simhash_nodes")
     roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias("r"))
-    return kept.join(materialize(chosen, "simhash_kept"), kept["_dup_row"] == F.col("r"), "left_semi").select(*docs.columns)
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias("_dup_least"))
+    return kept.join(materialize(chosen, "simhash_kept"), F.col("_dup_row") == F.col("_dup_least"), "left_semi").select(*docs.columns)
 
 
 def _row_fingerprints(batches):
