@@ -62,6 +62,24 @@ def distance_transform(vol: Volume, halo, sampling=None, return_distances: bool
     return (dist, index) if dist is not None and index is not None else dist if dist is not None else index
 
 
+def _line_pass(axis: str, step: float):
+    """Squared distances along one line, given those within the axes before."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(axis)
+        d = pdf["v"].to_numpy(float)
+        best = d.copy()
+        for k in range(1, len(d)):
+            cost = (k * step) ** 2
+            if cost >= best.max():
+                break
+            np.minimum(best[k:], d[:-k] + cost, out=best[k:])
+            np.minimum(best[:-k], d[k:] + cost, out=best[:-k])
+        return pdf.assign(v=best)
+
+    return run
+
+
 def exact_distance_transform(vol: Volume, sampling=None) -> Volume:
     """Exact distances without a halo: line by line, an axis at a time, one shuffle per axis.
 
@@ -70,21 +88,8 @@ def exact_distance_transform(vol: Volume, sampling=None) -> Volume:
     step = per_axis(sampling or 1.0, vol.ndim)
     df = vol.dense().df.select(*vol.axes, F.when(F.col("v").cast("double") != 0, float("inf")).otherwise(0.0).alias("v"))
     for axis, s in zip(vol.axes, step):
-
-        def line(pdf: pd.DataFrame, axis=axis, s=s) -> pd.DataFrame:
-            pdf = pdf.sort_values(axis)
-            d = pdf["v"].to_numpy(float)
-            best = d.copy()
-            for k in range(1, len(d)):
-                cost = (k * s) ** 2
-                if cost >= best.max():
-                    break
-                np.minimum(best[k:], d[:-k] + cost, out=best[k:])
-                np.minimum(best[:-k], d[k:] + cost, out=best[:-k])
-            return pdf.assign(v=best)
-
         rest = [a for a in vol.axes if a != axis]
-        df = (df.groupBy(*rest) if rest else df.groupBy()).applyInPandas(line, df.schema)
+        df = (df.groupBy(*rest) if rest else df.groupBy()).applyInPandas(_line_pass(axis, s), df.schema)
     return replace(vol, df=df.select(*vol.axes, F.sqrt("v").cast(spark_type("float32")).alias("v")), dtype="float32")
 
 
