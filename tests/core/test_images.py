@@ -40,6 +40,13 @@ def test_label(spark, rng, shape, connectivity):
     assert (components.label(from_numpy(spark, fg.astype("uint8")), connectivity=connectivity).to_numpy() == flood_fill(fg, connectivity)).all()
 
 
+def test_label_of_lines_longer_than_a_run(spark, rng, monkeypatch):
+    monkeypatch.setattr(components, "RUN", 8)
+    for shape in ((70,), (6, 30)):
+        fg = rng.random(shape) > 0.3
+        assert (components.label(from_numpy(spark, fg.astype("uint8"))).to_numpy() == flood_fill(fg)).all()
+
+
 def test_label_threshold_mask_and_errors(spark, rng):
     a = rng.random((30, 30))
     m = np.zeros(a.shape, "uint8")

@@ -14,10 +14,14 @@ from voxmill.volume import Volume, masked
 __all__ = ["connected_components", "label", "label_roots"]
 
 
+#: Runs end at multiples of this length, so that no window holds more, however long a line is.
+RUN = 65_536
+
+
 def _runs(fg: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     """Foreground voxels with the start of their run along the last axis."""
-    w = Window.partitionBy(*axes[:-1]).orderBy(axes[-1])
     x = F.col(axes[-1])
+    w = Window.partitionBy(*axes[:-1], F.floor(x / RUN)).orderBy(axes[-1])
     fresh = F.coalesce(F.lag(x).over(w) != x - 1, F.lit(True))
     start = F.last(F.when(fresh, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return fg.select(*axes, start.alias("start"))
@@ -41,10 +45,14 @@ def label_roots(vol: Volume, threshold: float | None = None, connectivity: int |
     cells = materialize(_runs(fg, axes).select(*axes, start_index.alias("run")), "label_runs")
     edges = None
     for step in itertools.product((-1, 0, 1), repeat=vol.ndim):
-        lead = next((s for s in step[:-1] if s), 0)
+        lead = next((s for s in step if s), 0)
         if lead != 1 or sum(map(abs, step)) > (connectivity or 1):
-            continue  # one of two opposite steps; steps along the last axis are runs
-        moved = cells.select(*[(F.col(a) + s).alias(a) for a, s in zip(axes, step)], F.col("run").alias("u"))
+            continue  # one of two opposite steps
+        along = not any(step[:-1])  # within lines only the ends of runs can meet
+        if along and vol.shape[-1] <= RUN:
+            continue
+        rows = cells.where(F.col(axes[-1]) % RUN == RUN - 1) if along else cells
+        moved = rows.select(*[(F.col(a) + s).alias(a) for a, s in zip(axes, step)], F.col("run").alias("u"))
         e = moved.join(cells, list(axes)).select("u", F.col("run").alias("v"))
         edges = e if edges is None else edges.unionByName(e)
     if edges is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.plans.durable import connected_components, materialize
@@ -22,38 +22,42 @@ def region_adjacency(seg: Volume) -> DataFrame:
     return parts.groupBy("u", "v").agg(F.count(F.lit(1)).alias("size"))
 
 
-def probabilities_to_costs(p: Column, beta: float = 0.5, sizes: Column | None = None, populations: Column | None = None, weighting_exponent: float = 1.0) -> Column:
-    """``ln((1 - p') / p') + ln((1 - beta) / beta)`` with p' = 0.998 p + 0.001; high p repels.
+def probabilities_to_costs(p: Column, beta: float = 0.5) -> Column:
+    """``ln((1 - p') / p') + ln((1 - beta) / beta)`` with p' = 0.998 p + 0.001; high p repels."""
+    q = 0.998 * p + 0.001
+    return F.log((1 - q) / q) + F.log(F.lit((1 - beta) / beta))
+
 
-    With sizes, costs are weighted by (size / greatest size) to an exponent, the greatest
-    being that of the edge's population if these are given.
+def weighted_costs(edges: DataFrame, beta: float = 0.5, size: Column | None = None, population: Column | None = None, weighting_exponent: float = 1.0) -> DataFrame:
+    """``edges`` (with ``p``) and their ``cost``, weighted by (size / greatest size) to an exponent.
+
+    The greatest size is that of the edge's population, or of all: an aggregate that is joined
+    back, never a window over all edges. A null population is one of its own.
     """
-    q = 0.998 * p + 0.001
-    cost = F.log((1 - q) / q) + F.log(F.lit((1 - beta) / beta))
-    if sizes is None:
-        return cost
-    w = Window.partitionBy(populations) if populations is not None else Window.partitionBy(F.lit(1))
-    return cost * F.pow(sizes / F.max(sizes).over(w), F.lit(float(weighting_exponent)))
+    cost = probabilities_to_costs(F.col("p"), beta)
+    if size is None:
+        return edges.withColumn("cost", cost)
+    rows = edges.withColumns({"_s": size.cast("double"), "_g": F.lit(0) if population is None else population})
+    most = rows.groupBy("_g").agg(F.max("_s").alias("_m")).withColumnRenamed("_g", "_h")
+    both = rows.join(most, F.col("_g").eqNullSafe(F.col("_h")))
+    return both.withColumn("cost", cost * F.pow(F.col("_s") / F.col("_m"), F.lit(float(weighting_exponent)))).select(*edges.columns, "cost")
 
 
 def compute_edge_costs(edges: DataFrame, beta: float = 0.5, weighting_scheme: str | None = None, weighting_exponent: float = 1.0) -> DataFrame:
     """``edges`` (with ``p``, and ``size`` and ``is_z`` where the scheme needs them) with ``cost``.
 
     Schemes: None or 'none' (no weights), 'all' (by size), 'xyz' (by size, in-plane and z edges
-    apart), 'z' (z edges by size, others with size 1). Greatest sizes are aggregates.
+    apart), 'z' (z edges by size, others with size 1).
     """
     if weighting_scheme in (None, "none"):
-        return edges.withColumn("cost", probabilities_to_costs(F.col("p"), beta))
+        return weighted_costs(edges, beta)
     if weighting_scheme not in ("all", "xyz", "z"):
         raise ValueError(f"unknown weighting scheme {weighting_scheme!r}")
     need = ["size"] + ["is_z"] * (weighting_scheme != "all")
     if missing := [c for c in need if c not in edges.columns]:
         raise ValueError(f"scheme {weighting_scheme!r} needs {missing}")
     size = F.when(F.col("is_z"), F.col("size")).otherwise(1) if weighting_scheme == "z" else F.col("size")
-    kind = F.lit(0) if weighting_scheme in ("all", "z") else F.col("is_z").cast("int")
-    rows = edges.withColumns({"_s": size.cast("double"), "_g": kind})
-    most = rows.groupBy("_g").agg(F.max("_s").alias("_m"))
-    return rows.join(F.broadcast(most), "_g").withColumn("cost", probabilities_to_costs(F.col("p"), beta) * F.pow(F.col("_s") / F.col("_m"), F.lit(float(weighting_exponent)))).drop("_s", "_g", "_m")
+    return weighted_costs(edges, beta, size, F.col("is_z") if weighting_scheme == "xyz" else None, weighting_exponent)
 
 
 # -- solvers on lists of (u, v, cost) ---------------------------------------------------------
