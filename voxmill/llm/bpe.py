@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SIMPLE = re.compile(r"(\n?)([^\W\d_]+)([.,;:!?#*$%&]*)")
+from voxmill.llm._common import worker_cache
+
 _ASCII = re.compile(r"([A-Za-z]+)([.,;:!?#*$%&]*)")
 
 
 class Limits(NamedTuple):
-    words: int = 250_000
-    runs: int = 500_000
+    words: int = 150_000
+    runs: int = 300_000
 
 
 class Recent(dict):
@@ -82,62 +83,86 @@ def _flat(lists: pa.Array):
     return offsets - offsets[0], words.dictionary.to_pylist(), words.indices.to_numpy()
 
 
+#: Splits texts into pieces; a text that holds it goes to the library whole.
+_CUT = "\x1e"
+#: What a piece begins with (a space, a line's first character, a full stop or comma, a line feed, anything else) ...
+_SPACE, _PLAIN, _MARK, _FEED, _ODD = range(5)
+#: ... and what lies before it: the text's start, a letter or digit, a mark, a line feed.
+_START, _WORD, _SIGN, _LINE = range(4)
+#: Whether a pre-token ends just before a piece, by both.
+_APART = np.zeros((5, 4), bool)
+_APART[_SPACE, [_WORD, _SIGN]] = _APART[_FEED, [_WORD, _SIGN]] = True
+_APART[_PLAIN, [_START, _LINE]] = _APART[_MARK, _WORD] = True
+
+
+def _kind(piece: str) -> int:
+    """Begin and end of a piece in one number."""
+    if piece == "\n":
+        return _FEED + 8 * _LINE
+    body = piece[1:] if piece[:1] == " " else piece
+    if not body or "<|" in body or any(map(str.isspace, body)):
+        return _ODD + 8 * _SIGN
+    begin = _SPACE if body is not piece else _MARK if piece[0] in ".," else _PLAIN
+    return begin + 8 * (_WORD if piece[-1].isalnum() else _SIGN)
+
+
 class ByteBpe:
-    """Ids of whole texts. Caches are bounded: a full one is emptied and fills again."""
+    """Ids of whole texts. The cache of pieces is bounded.
+
+    A text is cut before each space, full stop and comma and around each line feed. Where
+    ``_APART`` holds for all its pieces, pre-tokens end at every cut, so ids of pieces add up to
+    the text's; other texts are encoded whole.
+    """
 
     def __init__(self, path: str, limits: Limits = Limits()):
         self.tok = load(path)
         if max(self.tok.get_vocab().values()) >= 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits an id")
-        self.words, self.runs = Recent(limits.words), Recent(limits.runs, {"": b""})
-        self.newline = self._encode(["\n"])[0]
+        self.pieces = Recent(limits.runs)  # kind, then ids, 16 bits each
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], kinds) -> list[bytes]:
+        return [array("H", [k, *e.ids]).tobytes() for k, e in zip(kinds, self.tok.encode_batch_fast(texts, add_special_tokens=False))]
 
     def _learn(self, missing: list[str]) -> None:
-        """Fill ``words`` for chunks as ``encode`` cuts them: a line feed marks a line's first word."""
-        plans = []
-        for w in missing:
-            m = _SIMPLE.fullmatch(w)
-            if m and m[2].isalpha():  # letters take their leading space along, marks follow alone
-                plans.append((w, m[1], m[2] if m[1] else " " + m[2], m[3]))
-                continue
-            first = w[:1] == "\n"
-            body = w[1:] if first else w
-            if not body or "<|" in body or any(map(str.isspace, body)):
-                self.words[w] = None
-            else:
-                plans.append((w, first, body if first else " " + body, ""))
-        want, runs = {p for plan in plans for p in plan[2:]}, self.runs
-        order = runs.absent(want, len(want))
-        runs.update(zip(order, self._encode(order)))
-        for w, first, run, tail in plans:
-            self.words[w] = self.newline + runs[run] + runs[tail] if first else runs[run] + runs[tail]
+        plain = [8 * _WORD + (_SPACE if p[0] == " " else _PLAIN) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else _kind(p) for p in missing]
+        good = [i for i, k in enumerate(plain) if k % 8 != _ODD]
+        known = self._encode([missing[i] for i in good], [plain[i] for i in good])
+        self.pieces.update(zip(missing, [array("H", [k]).tobytes() for k in plain]))
+        self.pieces.update(zip((missing[i] for i in good), known))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint16, texts one after the other) and the offsets of the texts in them. A null is empty."""
         texts = pc.fill_null(texts, "")
-        cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
-        at, words, index = _flat(pc.split_pattern(cut, " "))
-        if missing := self.words.absent(words, len(words)):
+        cut = texts
+        for mark, by in ((" ", _CUT + " "), (".", _CUT + "."), (",", _CUT + ","), ("\n", _CUT + "\n" + _CUT)):
+            cut = pc.replace_substring(cut, mark, by)
+        at, pieces, index = _flat(pc.split_pattern(cut, _CUT))
+        if missing := self.pieces.absent(pieces, len(pieces)):
             self._learn(missing)
-        ids = list(map(self.words.__getitem__, words))
-        odd = np.array([i is None for i in ids], bool)
-        if odd.any():
-            rows = np.flatnonzero(np.add.reduceat(odd[index], at[:-1]) > 0)
+        ids = list(map(self.pieces.__getitem__, pieces))
+        size = np.fromiter(map(len, ids), "int64", len(ids)) // 2
+        pool = np.frombuffer(b"".join(ids), "<u2")
+        begin = np.cumsum(size) - size
+        kind = pool[begin].astype(np.int8)[index] if len(ids) else np.zeros(0, np.int8)
+        before = np.roll(kind >> 3, 1)
+        before[at[:-1]] = _START
+        odd = ~_APART[kind & 7, before]
+        size, begin = size - 1, begin + 1
+        split = np.concatenate([[0], np.cumsum(odd)])
+        rows = np.flatnonzero((split[at[1:]] > split[at[:-1]]) | pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False).astype(bool))
+        if len(rows):
+            whole = self._encode([texts[int(r)].as_py() for r in rows], [0] * len(rows))
             index, n = index.copy(), len(ids)
-            ids = [i or b"" for i in ids] + [b""] + [b"\0\0" + x for x in self._encode([texts[int(r)].as_py() for r in rows])]
+            extra = np.array([len(w) // 2 for w in whole])
+            size, begin = np.concatenate([size, [0], extra - 1]), np.concatenate([begin, [0], len(pool) + np.cumsum(extra) - extra + 1])
+            pool = np.concatenate([pool, np.frombuffer(b"".join(whole), "<u2")])
             for k, r in enumerate(rows):
                 index[at[r] : at[r + 1]] = n
                 index[at[r]] = n + 1 + k
-        size = np.fromiter(map(len, ids), "int64", len(ids)) // 2
-        pool, begin = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
-        n, start = size[index], begin[index]
-        n[at[:-1]] -= 1  # the line feed that was put before the text
-        start[at[:-1]] += 1
+        n = size[index]
         ends = np.cumsum(n)
-        where = np.repeat(start - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        total = int(ends[-1]) if len(ends) else 0
+        where = np.repeat(begin[index] - (ends - n), n) + np.arange(total)
         return pool[where], np.concatenate([[0], ends])[at]
 
 
@@ -186,12 +211,6 @@ class WordCounter:
         return out
 
 
-_CACHE: dict = {}
-
-
 def cached(kind, path: str, *args):
     """One encoder per worker process and vocabulary; it outlives a task."""
-    key = (kind.__name__, path)
-    if key not in _CACHE:
-        _CACHE[key] = kind(path, *args)
-    return _CACHE[key]
+    return worker_cache((kind.__name__, path), lambda: kind(path, *args))
