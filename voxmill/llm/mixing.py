@@ -155,7 +155,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     plan = spark.createDataFrame(rows, "out_shard int, src int, n long, first long, count long")
     piece = 16_384
     parts = plan.select("out_shard", "src", "n", "first", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(piece).cast("long"))).alias("p"))
-    parts = parts.repartition("out_shard", "src", "p")
+    # rows here are few but become blocks: a fixed number of tasks, which AQE leaves alone
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "out_shard", "src", "p")
     each = parts.select("out_shard", "src", "n", F.explode(F.sequence(F.col("first") + F.col("p"), F.col("first") + F.least(F.col("p") + piece, F.col("count")) - 1)).alias("j"))
     slots = each.mapInArrow(_map_slots(seed), "out_shard int, src int, block long, epoch long")
     return Mixture(sources, of, slots)
@@ -167,7 +168,8 @@ def taken_blocks(m: Mixture, block: int = 64) -> DataFrame:
     last = F.when(F.col("size") > 0, F.floor((F.col("pre") + F.col("size") - 1) / block))
     spread = m.docs.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("pre") / block), last))).alias("block"))
     low, high = F.greatest("pre", F.col("block") * block), F.least(F.col("pre") + F.col("size"), (F.col("block") + 1) * block)
-    joined = spread.join(times, ["src", "block"], "left")
+    # both sides grow with the corpus, which Spark cannot see through the explode of a small plan
+    joined = spread.join(times.hint("merge"), ["src", "block"], "left")
     return joined.select("rid", "doc_id", "src", "size", (low - F.col("pre")).alias("first"), (high - low).alias("words"), F.coalesce("times", F.lit(0)).alias("times"))
 
 
@@ -222,6 +224,6 @@ def mixed_documents(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     kept = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_text")
     parts = taken_blocks(mix(kept, block=block, row="_mix_row", **how), block).where("times > 0")
     lists = parts.groupBy(F.col("rid").alias("_mix_rid")).agg(F.collect_list(F.struct("first", "words", "times")).alias("_mix_parts"))
-    both = kept.join(lists, F.col("_mix_row") == F.col("_mix_rid")).select(*docs.columns, "_mix_parts")
+    both = kept.join(lists.hint("merge"), F.col("_mix_row") == F.col("_mix_rid")).select(*docs.columns, "_mix_parts")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return both.mapInArrow(_copies(docs.columns, docs.columns.index("text"), chars), docs.schema)
