@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxmill.llm._common import worker_cache
+
 #: Bytes as the kernel sees them: ASCII letters in lower case, bytes of other letters as they are, all else a space.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -145,17 +147,15 @@ def training_rows(docs: DataFrame, per_label: int = 400, most_labels: int = 1000
     return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_label).orderBy("lang", "_k").select("lang", "text").collect()
 
 
-_MODELS: dict = {}
+def _unpacked(parts) -> Model:
+    names, codes, marks, weights = parts
+    table, size = _table(codes)
+    return Model(names, table, size, marks, weights)
 
 
 def _scoring(shared, key: str, at: int):
     def run(batches):
-        if key not in _MODELS:
-            names, codes, marks, weights = shared.value
-            table, size = _table(codes)
-            _MODELS.clear()
-            _MODELS[key] = Model(names, table, size, marks, weights)
-        model = _MODELS[key]
+        model = worker_cache(("language", key), lambda: _unpacked(shared.value))
         for b in batches:
             texts = pc.fill_null(b.column(at).cast(pa.binary()), b"")
             langs, scores = [], []
