@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm._common import materialize
+from voxmill.llm.bpe import Limits
 from voxmill.llm.langid import identify_rows
 from voxmill.llm.mixing import mixed_documents
 from voxmill.llm.packing import pack_documents, with_crc
@@ -40,7 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of 1024 tokens; pieces by document with a checksum of their ids."""
-    return with_crc(pack_documents(docs))
+    # the heap has grown in the stages before, so the encoder gets by with smaller caches here
+    return with_crc(pack_documents(docs, limits=Limits(60_000, 60_000), slice_bytes=1_000_000))
 
 
 STAGES = [("language ID", language), ("SimHash near-dedup", dedup), ("PII", pii), ("mixing", mixture), ("packing", packing)]

@@ -213,4 +213,4 @@ class WordCounter:
 
 def cached(kind, path: str, *args):
     """One encoder per worker process and vocabulary; it outlives a task."""
-    return worker_cache((kind.__name__, path), lambda: kind(path, *args))
+    return worker_cache((kind.__name__, path, *[a for a in args if isinstance(a, Limits)]), lambda: kind(path, *args))

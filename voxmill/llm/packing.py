@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.bpe import ByteBpe, cached, slices, tokenizer_path
+from voxmill.llm.bpe import ByteBpe, Limits, cached, slices, tokenizer_path
 
 
 def balance(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float | None = None):
@@ -42,9 +42,9 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
-def _packer(capacity: int, pool: int, end_id: int, path: str | None, vocabulary: str, linear: float, quadratic: float | None):
+def _packer(capacity: int, pool: int, end_id: int, path: str | None, vocabulary: str, linear: float, quadratic: float | None, limits: Limits, slice_bytes: int):
     def run(batches):
-        bpe = cached(ByteBpe, path or tokenizer_path(vocabulary))
+        bpe = cached(ByteBpe, path or tokenizer_path(vocabulary), limits)
         end = np.array([end_id], "<u4")
         state = {"sequence": TaskContext.get().partitionId() << 40}
         rests: list[tuple] = []
@@ -65,7 +65,7 @@ def _packer(capacity: int, pool: int, end_id: int, path: str | None, vocabulary:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_NAMES)
 
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), slice_bytes):
                 rows: list[tuple] = []
                 docs = b.column(0)[i:j].to_pylist()
                 values, at = bpe.encode(b.column(1)[i:j])
@@ -87,12 +87,13 @@ def _packer(capacity: int, pool: int, end_id: int, path: str | None, vocabulary:
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json", path: str | None = None, linear: float = 1.0, quadratic: float | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json", path: str | None = None, linear: float = 1.0, quadratic: float | None = None, limits: Limits = Limits(), slice_bytes: int = 4_000_000) -> DataFrame:
     """Cut tokenized documents into pieces and pack these into sequences of ``capacity`` tokens.
 
     Each task encodes its documents, closes a sequence for every full ``capacity`` tokens of
     one, and packs the rests of ``pool`` documents at a time by ``balance``. Nothing is
     shuffled, memory is bounded by the pool, and a rerun of a task gives the same pieces.
+    ``limits`` and ``slice_bytes`` bound the encoder's caches and the text it takes at a time.
 
     Returns one row per piece: doc_id, start, length, ids (unsigned little-endian 32-bit),
     doc_tokens (with ``end_id`` after the text), sequence_id, offset. A null or empty text is
@@ -100,7 +101,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_
     table gives an empty result; other columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_packer(capacity, pool, end_id, path, vocabulary, linear, quadratic), SCHEMA)
+    return narrow.mapInArrow(_packer(capacity, pool, end_id, path, vocabulary, linear, quadratic, limits, slice_bytes), SCHEMA)
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
