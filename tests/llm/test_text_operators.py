@@ -255,6 +255,35 @@ def test_masking(private):
     assert got[len(texts) - 2] == "server address is [ip] today" and len(got) == len(texts)
 
 
+def test_identifiers_of_several_words_and_glued_cues(spark):
+    from voxmill.llm.pii import find_personal_data, masked_documents, span_digest
+
+    cards = [c for c in (str(4532015112830000 + i) for i in range(600)) if luhn(c)]
+    texts = [f"please call +1 (555) 123-{1000 + i} now" for i in range(40)] + [f"reach tel:+1555123{1000 + i} now" for i in range(40)]
+    texts += [f"pay with card {c} now" for c in cards[:40]] + [f"pay with card={c} now" for c in cards[:40]]
+    texts += [f"reach mail:bob{i}@x.org now" for i in range(40)]
+    new = {
+        "please call (555) 123-4567 now": ("phone:12:26", "please call [phone] now"),
+        "please call 555 123 4567 now": ("phone:12:24", "please call [phone] now"),
+        "please call 555.123.4567, now": ("phone:12:24", "please call [phone], now"),
+        "pay with card 4111 1111 1111 1112 now": ("card:14:33", "pay with card [card] now"),
+        "reach tel:5551234567 now": ("phone:10:20", "reach tel:[phone] now"),
+        "reach tel:(555) 123-4567 now": ("phone:10:24", "reach tel:[phone] now"),
+        "pay with card=4111111111111112 now": ("card:14:30", "pay with card=[card] now"),
+        "reach mail:bob@localhost now": ("email:11:24", "reach mail:[email] now"),
+        "sold 555 123 4567 and (555) 123-4567 pieces": ("", "sold 555 123 4567 and (555) 123-4567 pieces"),
+        "please call 12 times, now": ("", "please call 12 times, now"),
+        "please call 555 123 4567 8th street": ("phone:12:24", "please call [phone] 8th street"),
+        "(1) " * 20_000 + "1 " * 50_000 + "x1.2" * 20_000 + "z": (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(texts + list(new))), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in span_digest(find_personal_data(df)).collect()}
+    masked = {r["doc_id"]: r["text"] for r in masked_documents(df).collect()}
+    for i, (t, (span, text)) in enumerate(new.items(), len(texts)):
+        if text is not None:
+            assert (spans[i], masked[i]) == (span, text), t
+
+
 def test_personal_data_empty(no_docs, docs, rows):
     from voxmill.llm.pii import find_personal_data, masked_documents, span_digest
 

@@ -19,6 +19,10 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 #: A word with a digit or an at sign, of six characters or more.
 _TOKEN = rf"(?<![^{_WS}])(?=[^{_WS}]{{6}})[^{_WS}0-9@]*+[0-9@][^{_WS}]*+"
+#: Groups of digits with spaces, dots, dashes and brackets between them, none glued to a letter.
+_RUN = r"(?<![\p{L}0-9_@%./+-])\+?+(?:\((?=[0-9]{1,5}\)))?+[0-9]++(?![\p{L}_@%])(?:[\x20().-]++[0-9]++(?![\p{L}_@%]))*+"
+#: A cue glued to what it announces, as in tel:5551234567 or mail=bob@localhost.
+_CUE = r"^[^0-9@:=]*+[:=][\"'(\[]*+(?!/)"
 
 _SPAN = "array<struct<s:bigint,k:int,e:bigint,v:string>>"
 
@@ -65,13 +69,23 @@ def _patterns(text: Column, s: Column, e: Column) -> Column:
 def scan(docs: DataFrame, rid: str) -> DataFrame:
     """One row per document: rid, doc_id, base spans, and occurrences (seeds and candidates) with patterns.
 
-    Candidates are identifier-like words outside the base spans. Of a text only this is kept.
+    Candidates outside the base spans are identifier-like words, the same without a glued cue, and
+    whole runs of digit groups ('(555) 123-4567'), each with the patterns around all of it. Runs are
+    maximal, as the base cards and phones are. Of a text only this is kept.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     first = docs.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     first = first.withColumns({f"b{i}": c for i, c in enumerate(base_spans(F.col("text")))})
-    first = first.withColumn("base", F.sort_array(F.concat("b0", "b1", "b2", "b3"))).withColumn("tokens", _spans(F.col("text"), _TOKEN, -1))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    first = first.withColumn("base", F.sort_array(F.concat("b0", "b1", "b2", "b3")))
+    digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
+    first = first.withColumns({"tokens": _spans(F.col("text"), _TOKEN, -1), "runs": _spans(F.col("text"), _RUN, -1, lambda v: digits(v) >= 7)})
+
+    def uncued(x):
+        v = F.regexp_replace(x["v"], _CUE, "")
+        return F.struct((x["e"] - F.length(v)).alias("s"), x["k"].alias("k"), x["e"].alias("e"), v.alias("v"))
+
+    bare = F.filter(F.transform(F.filter("tokens", lambda x: F.rlike(x["v"], F.lit(_CUE))), uncued), lambda x: F.rlike(x["v"], F.lit("^(?=.{6}).*[0-9@]")))
+    free = F.filter(F.concat("tokens", bare, "runs"), lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
 
     def occurrence(x):
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.lower(x["v"]).alias("v"), _patterns(F.col("text"), x["s"], x["e"]).alias("p"))
@@ -80,7 +94,7 @@ def scan(docs: DataFrame, rid: str) -> DataFrame:
         v = F.regexp_replace(x["v"], r"[.,;:!?\"')\]}>]++$", "")
         return F.struct(x["s"].alias("s"), x["k"].alias("k"), (x["s"] + F.length(v)).alias("e"), v.alias("v"))
 
-    spots = F.transform(F.concat("base", F.filter(F.transform(free, trimmed), lambda x: x["e"] > x["s"])), occurrence)
+    spots = F.transform(F.concat("base", F.array_distinct(F.filter(F.transform(free, trimmed), lambda x: x["e"] > x["s"]))), occurrence)
     return first.select("rid", "doc_id", "base", spots.alias("spots"))
 
 
