@@ -38,6 +38,12 @@ def mask(spark: SparkSession, sf_dir: str) -> Volume:
     return g.with_values((F.col("y").between(10, 299) & F.col("x").between(5, 39)).cast("int"), "uint8")
 
 
+def scattered_mask(spark: SparkSession, sf_dir: str) -> Volume:
+    """A rule over all rows: four voxels of seven."""
+    g = image(spark, sf_dir)
+    return g.with_values(((F.col("y") * 5 + F.col("x") * 3) % 7 < 4).cast("int"), "uint8")
+
+
 def volume3d(spark: SparkSession, sf_dir: str) -> Volume:
     """Order lines by line number, supplier and quantity; cells without any are left out (0)."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_linenumber") - 1).cast("bigint").alias("z"), F.col("l_suppkey").alias("y"), (F.col("l_quantity").cast("int") - 1).cast("bigint").alias("x"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voxmill.operators import components, contingency, distance, evaluation, graph, morphology, pointwise, relabel, resample, stats, stencil, stitching, views, watershed
 from voxmill.plans import grids
 from voxmill.plans.durable import materialize
-from voxmill.volume import Volume, write_masked
+from voxmill.volume import Volume, grid, write_masked
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -306,3 +306,60 @@ def cube_grid(spark, objects: int) -> Volume:
     k = spark.range(64).select(F.floor(F.col("id") / 16).alias("p"), (F.floor(F.col("id") / 4) % 4).alias("q"), (F.col("id") % 4).alias("r"))
     df = o.join(F.broadcast(k.withColumn("_k", F.lit(1))), F.col("_k") == F.lit(1)).select((F.col("a") * 7 + F.col("p")).alias("z"), (F.col("b") * 7 + F.col("q")).alias("y"), (F.col("c") * 7 + F.col("r")).alias("x"), (F.col("id") + 1).alias("v"))
     return Volume(df, (side * 7,) * 3, "uint64")
+
+
+# -- whole tables: queries whose namesakes above work on a fixed window, box or radius ------------------
+# Those keep their SQL; these grow with the table, and tests hold them against brute force.
+
+_MW = _G2 + ", m AS (SELECT *, (y * 5 + x * 3) % 7 < 4 AS inside FROM g)"
+_LMW = _LAB + ", m AS (SELECT * FROM l WHERE (y * 5 + x * 3) % 7 < 4)"
+query(f"{_MW} SELECT y, x, CASE WHEN inside THEN v ELSE 0 END AS v FROM m", "copy_masked_whole")(lambda s, d: pointwise.copy(img(s, d), mask=grids.scattered_mask(s, d)).df)
+
+
+def _stat_whole(name: str, **sql: str):
+    what = ", ".join(f"{s6(q)} AS {c}" for c, q in sql.items())
+    query(f"{_MW} SELECT {what} FROM m WHERE inside", name + "_masked_whole")(lambda s, d: rounded(stats.summary(img(s, d), grids.scattered_mask(s, d)).select(*sql)))
+
+
+_stat_whole("stats_max", max="max(v)")
+_stat_whole("stats_min", min="min(v)")
+_stat_whole("stats_min_max", min="min(v)", max="max(v)")
+_stat_whole("stats_mean_std", mean="avg(v)", std="stddev_pop(v)")
+_stat_whole("stats_mean", mean="avg(v)")
+_stat_whole("stats_std", std="stddev_pop(v)")
+query(f"{_LMW} SELECT a AS v, count(*) AS count FROM m GROUP BY a", "unique_masked_whole")(lambda s, d: stats.unique(grids.labels_a(s, d), True, grids.scattered_mask(s, d)))
+query(f"{_MW} SELECT y, x, {s6('CASE WHEN inside THEN v + 1 ELSE 0 END')} AS v FROM m", "op_masked_whole")(lambda s, d: rounded(pointwise.add(img(s, d), 1.0, mask=grids.scattered_mask(s, d)).df, "y", "x"))
+query(f"{_LMW} SELECT a AS label_a, b AS label_b, count(*) AS count FROM m GROUP BY ALL", "contingency_masked_whole")(lambda s, d: contingency.contingency_table(grids.labels_a(s, d), grids.labels_b(s, d), grids.scattered_mask(s, d)).pairs)
+query(f"{_MW} SELECT y, x, CASE WHEN inside THEN 1.0::DOUBLE ELSE v END AS v FROM m", "masked_write_whole")(lambda s, d: write_masked(img(s, d).with_values(F.lit(1.0)), grids.scattered_mask(s, d), img(s, d)).df)
+
+
+def _affine_linear_whole(s, d):
+    """Every voxel lies among the samples: three quarters of a voxel apart along y, half a voxel along x."""
+    g = img(s, d)
+    shape = (int((g.shape[0] - 1) / 0.75) + 1, 2 * g.shape[1] - 1)
+    return rounded(resample.affine(g, shape, scale=[0.75, 0.5], order=1).df, "y", "x")
+
+
+def _affine_rotation_cubic_whole(s, d):
+    """Half a turn, so that the output is no larger than the table, between the voxels; what falls outside is 0."""
+    g = img(s, d)
+    return rounded(resample.affine(g, g.shape, rotation=[180.0], translation=[g.shape[0] - 1.5, g.shape[1] - 1.5], order=3).df, "y", "x")
+
+
+def _transform_coordinates_whole(s, d):
+    g = img(s, d)
+    shape = (g.shape[0], 2 * g.shape[1] - 1)
+    targets = grid(s, shape).withColumns({"at_y": F.col("y") * 1.0, "at_x": F.col("x") * 0.5})
+    return rounded(resample.transform_subvolume_coordinates(g, targets, shape, 1).df, "y", "x")
+
+
+def _map_points_whole(s, d):
+    """A point per vector."""
+    objects = grids.labels_a(s, d).with_values(F.when(F.col("v") >= 7, F.col("v")).otherwise(0), "int64")
+    points = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("y"), (F.col("vec_id") * 23 % 64).alias("x"))
+    d2 = F.when(F.col("distance") < 1e9, F.rint(F.col("distance").cast("double") * F.col("distance"))).otherwise(-1)
+    return distance.map_points_to_objects(objects, points, 6).select("id", "label", d2.cast("bigint").alias("d2"))
+
+
+for _f in (_affine_linear_whole, _affine_rotation_cubic_whole, _transform_coordinates_whole, _map_points_whole):
+    query(None, _f.__name__[1:])(_f)
