@@ -84,3 +84,27 @@ def test_points(spark, table):
         want.add((i, int(a[tuple(objects[k])]), int(d2[k])) if d2[k] <= 36 else (i, 0, -1))
     got = [tuple(r) for r in QUERIES["map_points_whole"](spark, where).collect()]
     assert len(got) == ROWS and set(got) == want and (140, 0, -1) in want
+
+
+def all_distances(fg):
+    bg, out = np.argwhere(~fg), np.zeros(fg.shape)
+    for p in np.argwhere(fg):
+        out[tuple(p)] = math.sqrt(((bg - p) ** 2).sum(1).min()) if len(bg) else math.inf
+    return out
+
+
+def test_distances(spark, table):
+    where, v = table
+    want = all_distances(v < 0.2)
+    assert want.max() > 30  # far beyond any halo
+    assert np.allclose(array(QUERIES["edt_exact_whole"](spark, where), v.shape, "distance"), want)
+    near = QUERIES["edt_whole"](spark, where).toPandas()
+    got, exact = np.full(v.shape, np.nan), np.zeros(v.shape, bool)
+    got[near["y"], near["x"]], exact[near["y"], near["x"]] = near["distance"], near["exact"]
+    assert len(near) == v.size and (exact == (want <= 8)).all() and np.allclose(got[exact], want[exact]) and (got >= want - 1e-5).all()
+
+
+def test_distances_without_background(spark, tmp_path):
+    spark.createDataFrame([(i, [0.0] * 64, 0) for i in range(20)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("edt_exact_whole", "edt_whole"):
+        assert np.isinf(array(QUERIES[name](spark, str(tmp_path)), (20, 64), "distance")).all()

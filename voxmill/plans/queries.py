@@ -363,3 +363,21 @@ def _map_points_whole(s, d):
 
 for _f in (_affine_linear_whole, _affine_rotation_cubic_whole, _transform_coordinates_whole, _map_points_whole):
     query(None, _f.__name__[1:])(_f)
+
+
+def _foreground(s, d) -> Volume:
+    return img(s, d).with_values(F.col("v") < 0.2, "bool")
+
+
+def _edt_whole(s, d):
+    """All voxels; distances beyond the halo are those to the nearest background that the block saw, or inf, and not exact."""
+    out = distance.distance_transform(_foreground(s, d), halo=8, block_shape=_B)
+    return out.df.select("y", "x", F.col("v").alias("distance"), (F.col("v") <= 8).alias("exact"))
+
+
+def _edt_exact_whole(s, d):
+    return distance.exact_distance_transform(_foreground(s, d)).df.select("y", "x", F.col("v").alias("distance"))
+
+
+query(None, "edt_whole")(_edt_whole)
+query(None, "edt_exact_whole")(_edt_exact_whole)
