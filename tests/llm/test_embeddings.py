@@ -70,3 +70,19 @@ def test_empty_and_nothing_valid(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert link_embeddings(spark.createDataFrame([], schema)).collect() == []
     assert [tuple(r) for r in link_embeddings(spark.createDataFrame([(4, None, 1)], schema)).collect()] == [(4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("sample", [20_000, 60])
+def test_every_length_is_searched(spark, sample):
+    from voxmill.llm.embed_dedup import link_embeddings
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for length in range(1, 91):
+        v = rng.normal(size=length)
+        for e in (0, 0.001, 0.002):  # near copies, none equal bit by bit
+            rows.append((len(rows), [float(x) for x in v + e * rng.normal(size=length)], length % 2))
+    want = brute(rows)
+    assert sum(r[1] for r in want) >= 2 * 3 * 89
+    got = link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), sample=sample).collect()
+    assert sorted(map(tuple, got)) == want

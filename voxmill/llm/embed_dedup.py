@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -53,6 +54,26 @@ def reach(threshold: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
 
+def _batches_of_lengths(sizes, sample: int, floats: int = 65_536) -> list[dict[int, int]]:
+    """Lengths to share a job, with their cells: ``sample`` vectors together at most, or a length of its own; ``floats`` bounds their models."""
+    out, left, room = [], 0, 0
+    for dim, cells, n in sorted(sizes):
+        if n > left or dim > room:
+            out.append({})
+            left, room = sample, floats
+        out[-1][dim] = cells
+        left, room = left - n, room - dim
+    return out
+
+
+def _by_length(batch, column: int):
+    """Parts of an Arrow batch whose vectors are equally long."""
+    size = np.array([len(v) for v in batch.column(column).to_pylist()])
+    lengths = np.unique(size)
+    for k in lengths:
+        yield batch if len(lengths) == 1 else batch.take(pa.array(np.flatnonzero(size == k)))
+
+
 def _index(shared, threshold: float):
     """A row for each vector in its own list, and one for each list of lower number that may hold a neighbour.
 
@@ -62,13 +83,13 @@ def _index(shared, threshold: float):
     names = ["label", "cell", "home", "vec", "mult", "unit", "code", "err"]
 
     def run(batches):
-        q: Quantiser = shared.value
-        r, width = reach(threshold), q.books.shape[2]
-        for b in batches:
+        models: dict[int, Quantiser] = shared.value
+        r = reach(threshold)
+        for b in (part for whole in batches for part in _by_length(whole, 3)):
             n = b.num_rows
-            if not n:
-                continue
             x = np.frombuffer(b"".join(b.column(3).to_pylist()), np.float64).reshape(n, -1)
+            q = models[x.shape[1]]
+            width = q.books.shape[2]
             cells = b.column(4).to_numpy()
             d2 = ((q.centroids**2).sum(1)[None] - 2 * x @ q.centroids.T) + (x * x).sum(1)[:, None]
             d2[np.arange(len(q.centroids))[None] >= cells[:, None]] = np.inf
@@ -155,12 +176,12 @@ def _search_blocks(shared, threshold: float):
     """Rows come sorted by (label, cell, lo, hi); one block is in memory at a time."""
 
     def run(batches):
-        q: Quantiser = shared.value
+        models: dict[int, Quantiser] = shared.value
 
         def solve(key, parts):
             cols = [np.concatenate(c) for c in zip(*parts)]
             block = _Block(*cols)
-            links, parent = _search(block, q, key[1], key[2], key[3], threshold)
+            links, parent = _search(block, models[block.unit.shape[1]], key[1], key[2], key[3], threshold)
             best = np.full(len(parent), np.iinfo(np.int64).max)
             np.minimum.at(best, parent, block.vec)
             told = links > 0
@@ -174,16 +195,18 @@ def _search_blocks(shared, threshold: float):
             label = b.column(0).to_pylist()
             num = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)], 1)
             cut = [0, *[i for i in range(1, n) if label[i] != label[i - 1] or (num[i] != num[i - 1]).any()], n]
-            unit = np.frombuffer(b"".join(b.column(7).to_pylist()), np.float64).reshape(n, -1)
+            unit = b.column(7).to_pylist()
             code = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint8).reshape(n, -1)
-            cols = (b.column(5).to_numpy(), b.column(6).to_numpy(), unit, code, b.column(9).to_numpy(), b.column(4).to_numpy(zero_copy_only=False), b.column(10).to_numpy())
+            cols = (b.column(5).to_numpy(), b.column(6).to_numpy(), code, b.column(9).to_numpy(), b.column(4).to_numpy(zero_copy_only=False), b.column(10).to_numpy())
             for i, j in zip(cut, cut[1:]):
                 key = (label[i], *num[i].tolist())
                 if key != held and parts:
                     yield solve(held, parts)
                     parts = []
                 held = key
-                parts.append(tuple(c[i:j] for c in cols))
+                vec, mult, *rest = (c[i:j] for c in cols)
+                # a label is of one length, a batch is not
+                parts.append((vec, mult, np.frombuffer(b"".join(unit[i:j]), np.float64).reshape(j - i, -1), *rest))
         if parts:
             yield solve(held, parts)
 
@@ -203,7 +226,8 @@ def link_embeddings(table: DataFrame, threshold: float = 0.93, list_size: int =
 
     Returns vec_id, n_links, component_id, kept (is it the component's least). Vectors that are null, empty,
     zero or hold null or non-finite components, and rows with a null label, link with nothing:
-    0 links, their own vec_id. Vectors of unlike length link with nothing either. Repeated rows link
+    0 links, their own vec_id. Vectors of unlike length never link with each other; every length is
+    searched, and lengths of few vectors share a job (the driver holds the list of lengths). Repeated rows link
     with each other. Null vec_ids never name a component that has another. An empty table
     gives an empty result; other columns are ignored.
     """
@@ -219,13 +243,15 @@ def link_embeddings(table: DataFrame, threshold: float = 0.93, list_size: int =
     valid = rows.where("x is not null")
     nodes = valid.groupBy("label", "x").agg(F.min("row").alias("vec"), F.count(F.lit(1)).alias("mult"), F.first("key").alias("key"))
     nodes = materialize(nodes, "embed_nodes")
-    sizes = nodes.groupBy("label", F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.least(F.lit(most_cells), F.ceil(F.col("n") / list_size)).cast("int").alias("cells"))
-    edges, counts = None, None
-    for dim, cells in ((r["dim"], r["cells"]) for r in sizes.groupBy("dim").agg(F.max("cells").alias("cells")).limit(64).collect()):
-        part = nodes.where(F.size("x") == dim)
-        few = part.orderBy(F.xxhash64("key"), "vec").limit(sample).select("x").toPandas()
-        q = fit_quantiser(np.array(few["x"].tolist(), float), int(cells))
-        shared = spark.sparkContext.broadcast(q)  # bounded by most_cells
+    sizes = nodes.groupBy("label", F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).select("label", "dim", "n", F.least(F.lit(most_cells), F.ceil(F.col("n") / list_size)).cast("int").alias("cells"))
+    lengths = [(r["dim"], r["cells"], r["n"]) for r in sizes.groupBy("dim").agg(F.max("cells").alias("cells"), F.sum("n").alias("n")).collect()]
+    links = []
+    for batch in _batches_of_lengths(lengths, sample):
+        part = nodes.where(F.size("x").isin(list(batch)))
+        few = part.orderBy(F.xxhash64("key"), "vec").limit(sample).select("x").toPandas()["x"]
+        dims = few.map(len)
+        models = {dim: fit_quantiser(np.array(few[dims == dim].tolist(), float), cells) for dim, cells in batch.items()}
+        shared = spark.sparkContext.broadcast(models)  # bounded by most_cells and the batch
         flat = part.join(sizes.select("label", "cells"), "label").select("label", "vec", "mult", "x", "cells")
         indexed = materialize(flat.mapInArrow(_packed(), "label string, vec long, mult long, unit binary, cells int").mapInArrow(_index(shared, threshold), INDEX), "embed_index")
         many = indexed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "cell", F.ceil(F.col("n") / tile).cast("int").alias("t"))
@@ -234,10 +260,10 @@ def link_embeddings(table: DataFrame, threshold: float = 0.93, list_size: int =
         dealt = dealt.select("label", "cell", F.least("side", "o").alias("lo"), F.greatest("side", "o").alias("hi"), "home", "vec", "mult", "unit", "code", "err", "side")
         dealt = dealt.repartition("label", "cell", "lo", "hi").sortWithinPartitions("label", "cell", "lo", "hi")
         found = dealt.mapInArrow(_search_blocks(shared, threshold), "vec long, links long, root long")
-        counts = found if counts is None else counts.unionByName(found)
-    if counts is None:
+        links.append(materialize(found, "embed_links"))
+    if not links:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    counts = materialize(counts, "embed_links")
+    counts = reduce(DataFrame.unionByName, links)
     edges = counts.select(F.col("vec").alias("u"), F.col("root").alias("v"))
     roots = connected_components(edges)
     sums = counts.groupBy("vec").agg(F.sum("links").alias("more"))
