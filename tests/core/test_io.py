@@ -97,6 +97,17 @@ def test_tables(spark, tmp_path):
             f()
 
 
+def test_a_sheet_never_loses_rows(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(pd.DataFrame, "to_excel", lambda self, path, **_: written.append(self["id"].tolist()))
+    monkeypatch.setattr(formats, "SHEET_ROWS", 10, raising=False)
+    sources.write_table(spark.range(10), str(tmp_path / "t.xlsx"))
+    assert sorted(written.pop()) == list(range(10))
+    with pytest.raises(ValueError, match=".csv"):
+        sources.write_table(spark.range(11), str(tmp_path / "t.xlsx"))
+    assert not written
+
+
 def test_ledger_resumes(spark, tmp_path):
     flag = tmp_path / "fixed"
 

@@ -291,6 +291,10 @@ register_source(lambda o: _is_module(o, "cloudvolume"), lambda spark, o: from_nu
 # -- tables ---------------------------------------------------------------------------------
 
 
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A .csv by Spark, or an .xlsx or .xls sheet by pandas on the driver (a sheet has a million rows at most)."""
     if path.endswith(".csv"):
@@ -304,7 +308,11 @@ def write_table(df: DataFrame, path: str) -> None:
     if path.endswith(".csv"):
         df.write.mode("overwrite").csv(path, header=True)
     elif path.endswith((".xlsx", ".xls")):
-        df.limit(1_048_575).toPandas().to_excel(path, index=False)
+        # a row more than fits tells that it would not; the driver never holds more
+        rows = df.limit(SHEET_ROWS + 1).toPandas()
+        if len(rows) > SHEET_ROWS:
+            raise ValueError(f"a sheet holds {SHEET_ROWS} rows and the table has more; use .csv")
+        rows.to_excel(path, index=False)
     else:
         raise ValueError(f"{path!r} is no table; use .csv or .xlsx")
 
