@@ -496,3 +496,21 @@ def test_simhash_representatives(docs, no_docs, rows):
     roots = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
     assert out.columns == docs.columns and len(kept) == len(set(roots))
     assert near_duplicate_representatives(no_docs).collect() == [] and near_duplicates(no_docs).collect() == []
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    import numpy as np
+
+    from voxmill.llm.token_files import compress, decompress
+
+    ids = np.concatenate([np.tile(np.random.default_rng(1).integers(0, 500, 300), 400), np.arange(100), np.tile(np.arange(7), 500)])
+    offsets = np.array([0, 120_000, 120_100, len(ids)])
+    symbols, cuts, rules = compress(ids, offsets, 500)
+    assert len(symbols) < len(ids) / 200  # six doublings leave a 64th at best
+    inside = np.ones(len(symbols) - 1, bool)
+    inside[cuts[1:-1] - 1] = False
+    assert max(Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist())).values()) < 8
+    got, ends = decompress(symbols, cuts, rules, 500)
+    assert (got == ids).all() and (ends == offsets).all()
+    for i in range(3):
+        assert (decompress(symbols, cuts, rules, 500, slice(i, i + 1))[0] == ids[offsets[i] : offsets[i + 1]]).all()

@@ -31,15 +31,15 @@ def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
 
 
-def compress(ids: np.ndarray, offsets: np.ndarray, first: int, rounds: int = 6, least: int = 8, most: int = 4096):
+def compress(ids: np.ndarray, offsets: np.ndarray, first: int, least: int = 8, most: int = 4096):
     """Re-Pair over documents that ``offsets`` bound: (symbols, offsets, rules).
 
     Each round counts all pairs inside documents, makes a nonterminal of each of the
     commonest (``least`` times or more, ``most`` a round, up to 16 bits), and replaces them
-    from left to right. It ends when no pair is frequent.
+    from left to right. It ends when no pair is frequent or no symbol is left.
     """
     seq, offsets, rules = ids.astype(np.uint16), offsets.astype(np.int64), []
-    for _ in range(rounds):
+    while True:
         free = (1 << 16) - first - sum(map(len, rules))
         if len(seq) < 2 or free <= 0:
             break
@@ -104,12 +104,21 @@ def expand_rules(rules: np.ndarray, first: int):
 
 
 def decompress(symbols: np.ndarray, offsets: np.ndarray, rules: np.ndarray, first: int, docs: slice = slice(None)):
-    """Ids and offsets of the documents in a slice of a segment; only their symbols are expanded."""
-    pool, begin, size = expand_rules(rules, first)
+    """Ids and offsets of the documents in a slice of a segment; only the rules that their symbols name are expanded."""
     low, high = offsets[:-1][docs], offsets[1:][docs]
     if not len(low):
-        return pool[:0], np.zeros(1, np.int64)
+        return np.zeros(0, np.uint16), np.zeros(1, np.int64)
     part = symbols[low[0] : high[-1]]
+    if len(low) < len(offsets) - 1 and len(rules):
+        named = np.zeros(first + len(rules), bool)
+        named[part] = True
+        for r in (first + len(rules) - 1 - np.arange(len(rules))).tolist():  # rules name earlier ones only
+            if named[r]:
+                named[rules[r - first]] = True
+        named[:first] = True
+        number = np.cumsum(named) - 1
+        rules, part = number[rules[named[first:]]], number[part]
+    pool, begin, size = expand_rules(rules, first)
     ends = np.concatenate([[0], np.cumsum(size[part])])
     return gather(pool, begin[part], size[part]), np.concatenate([[0], ends[high - low[0]]])
 
