@@ -288,6 +288,27 @@ def test_multicut(spark, rng):
         graph.multicut_decomposition(df, "none")
 
 
+def test_kernighan_lin_moves_groups_and_joins_clusters(rng):
+    # two tied pairs in two clusters attract each other, but no single node gains by moving
+    edges = [(0, 1, 5.0), (2, 3, 5.0), (0, 2, 1.0), (1, 3, 1.0)]
+    assert len(set(graph.kernighan_lin(edges, {0: "a", 1: "a", 2: "b", 3: "b"}).values())) == 1
+    # a tied pair belongs to the other cluster
+    edges = [(0, 1, 3.0), (2, 3, 5.0), (4, 5, 3.0), (0, 4, -9.0), (1, 2, -2.0), (0, 3, -2.0), (2, 4, 1.0), (3, 5, 1.0)]
+    got = graph.kernighan_lin(edges, {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1})
+    assert got[0] == got[1] != got[2] == got[3] == got[4] == got[5]
+    # a cluster splits in the middle
+    edges = [(0, 1, 3.0), (2, 3, 3.0), (0, 2, -1.0), (1, 3, -1.0)]
+    got = graph.kernighan_lin(edges, dict.fromkeys(range(4), 0))
+    assert got[0] == got[1] != got[2] == got[3]
+    for _ in range(20):
+        edges = [(u, v, float(rng.normal())) for u in range(30) for v in range(u) if rng.random() < 0.2]
+        first = graph.greedy_additive(edges)
+        got = graph.kernighan_lin(edges, first)
+        assert cut_cost(edges, got) <= cut_cost(edges, first) + 1e-9
+        for a, b in itertools.combinations(set(got.values()), 2):  # no union gains
+            assert sum(c for u, v, c in edges if {got[u], got[v]} == {a, b}) <= 1e-6
+
+
 def test_edge_costs(spark):
     rows = [(0.1, 4, True), (0.9, 8, False), (0.5, 2, False)]
     df = spark.createDataFrame(rows, "p double, size long, is_z boolean")

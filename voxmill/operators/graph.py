@@ -125,8 +125,13 @@ def greedy_fixation(edges: list[tuple]) -> dict:
     return {n: find(n) for n in list(parent)}
 
 
-def kernighan_lin(edges: list[tuple], start: dict | None = None, rounds: int = 25) -> dict:
-    """Improve a clustering by moving single nodes to a neighbouring cluster, or to one of their own, while the cut gets cheaper."""
+def kernighan_lin(edges: list[tuple], start: dict | None = None) -> dict:
+    """Improve a clustering until neither single moves, nor move sequences of two clusters, nor their union make the cut cheaper.
+
+    Of each pair of neighbouring clusters, and of each cluster and an empty one, every node moves
+    once to the other side, the best move first even if it makes the cut dearer; the best beginning
+    of the sequence is kept, or the union if that gains more. Every change lowers the cut, so it ends.
+    """
     near: dict = {}
     for u, v, c in edges:
         if u != v:
@@ -134,26 +139,93 @@ def kernighan_lin(edges: list[tuple], start: dict | None = None, rounds: int = 2
             near.setdefault(v, {})[u] = near[u][v]
         else:
             near.setdefault(u, {})
-    label = dict(start) if start is not None else greedy_additive(edges)
-    fresh = 0
-    for _ in range(rounds):
-        moved = False
-        for n in sorted(near):
-            pull: dict = {}
+    given = dict(start) if start is not None else greedy_additive(edges)
+    least: dict = {}
+    for n in sorted(near):
+        least.setdefault(given[n], len(least))
+    label = {n: least[given[n]] for n in near}
+    fresh, slack = len(least), 1e-9
+    members: dict = {}
+    for n in sorted(near):
+        members.setdefault(label[n], set()).add(n)
+
+    def move(n, k):
+        members[label[n]].discard(n)
+        if not members[label[n]]:
+            del members[label[n]]
+        label[n] = k
+        members.setdefault(k, set()).add(n)
+
+    def single_moves() -> set:
+        nonlocal fresh
+        touched: set = set()
+        todo = sorted(near)
+        while todo:
+            again: set = set()
+            for n in todo:
+                pull: dict = {}
+                for m, c in near[n].items():
+                    pull[label[m]] = pull.get(label[m], 0.0) + c
+                own = pull.pop(label[n], 0.0)
+                best, gain = None, slack
+                for k in sorted(pull):
+                    if pull[k] - own > gain:
+                        best, gain = k, pull[k] - own
+                if -own > gain:
+                    best, fresh = fresh, fresh + 1
+                if best is not None:
+                    touched |= {label[n], best}
+                    move(n, best)
+                    again |= {n, *near[n]}
+            todo = sorted(again)
+        return touched
+
+    def improve(a, b) -> bool:
+        """The best of: a beginning of the move sequence between a and b, and their union."""
+        both = sorted(members[a] | members.get(b, set()))
+        side = {n: label[n] for n in both}
+        gain = {n: sum(c if side[m] != side[n] else -c for m, c in near[n].items() if m in side) for n in both}
+        joined = sum(c for n in members[a] for m, c in near[n].items() if side.get(m) == b) if b in members else 0.0
+        heap = [(-g, n) for n, g in gain.items()]
+        heapq.heapify(heap)
+        moves, total, best, cut = [], 0.0, slack, 0
+        free = set(both)
+        while heap:
+            g, n = heapq.heappop(heap)
+            if n not in free or -g != gain[n]:
+                continue
+            free.discard(n)
+            total += gain[n]
+            moves.append(n)
+            side[n] = b if side[n] == a else a
             for m, c in near[n].items():
-                pull[label[m]] = pull.get(label[m], 0.0) + c
-            own = pull.pop(label[n], 0.0)
-            best, gain = None, 1e-12
-            for k in sorted(pull, key=str):
-                if pull[k] - own > gain:
-                    best, gain = k, pull[k] - own
-            if -own > gain:
+                if m in free:
+                    gain[m] += 2 * c if side[m] != side[n] else -2 * c
+                    heapq.heappush(heap, (-gain[m], m))
+            if total > best:
+                best, cut = total, len(moves)
+        if joined > best:
+            for n in list(members[b]):
+                move(n, a)
+            return True
+        for n in moves[:cut]:
+            move(n, b if label[n] == a else a)
+        return cut > 0
+
+    single_moves()
+    dirty = set(members)
+    while dirty:
+        pairs = {(min(label[u], label[v]), max(label[u], label[v])) for u in near for v in near[u] if label[u] != label[v]}
+        changed: set = set()
+        for a, b in sorted(pairs):
+            if a in members and b in members and {a, b} & (dirty | changed) and improve(a, b):
+                changed |= {a, b}
+        for a in sorted(members):
+            if a in dirty | changed and len(members[a]) > 1:
                 fresh += 1
-                best = ("new", fresh)
-            if best is not None:
-                label[n], moved = best, True
-        if not moved:
-            break
+                if improve(a, fresh - 1):
+                    changed |= {a, fresh - 1}
+        dirty = (changed | single_moves()) & set(members) if changed else set()
     return label
 
 
@@ -183,7 +255,7 @@ def multicut_gaec(edges: DataFrame) -> DataFrame:
 
 
 def multicut_kernighan_lin(edges: DataFrame, warmstart: bool = True) -> DataFrame:
-    """(node, cluster) by local moves, from the greedy solution or from single nodes."""
+    """(node, cluster) by Kernighan-Lin moves and unions, from the greedy solution or from single nodes."""
     return _solve_whole(edges, kernighan_lin if warmstart else lambda e: kernighan_lin(e, {n: n for u, v, _ in e for n in (u, v)}))
 
 
