@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,7 +21,8 @@ def work_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: a run folder below ``spark.checkpoint.dir``.
 
     All executors share that folder, so a table written there outlives any of them. Only
-    a session that names none (tests, a laptop) gets a temporary folder of its own.
+    a session that names none (tests, a laptop) gets a temporary folder of its own. The run
+    folder goes when the driver ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
@@ -31,9 +34,17 @@ def work_root(spark: SparkSession) -> str:
             spark.conf.set("spark.checkpoint.dir", base)
             atexit.register(_remove, spark, base)
         _ROOTS[app] = f"{base.rstrip('/')}/voxmill-{uuid.uuid4().hex}"
+        fs, path = _hadoop(spark, _ROOTS[app])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     return _ROOTS[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     import shutil
 
@@ -44,23 +55,83 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+class _Scope:
+    def __init__(self, outer: _Scope | None):
+        self.outer, self.paths = outer, []
+
+
+_SCOPE: ContextVar[_Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes inside are deleted at the end, save those with ``keep``, which an outer scope may delete."""
+    scope = _Scope(_SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in scope.paths:
+            fs, p = _hadoop(spark, path)
+            fs.delete(p, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    scope = _SCOPE.get()
+    if keep and scope:
+        scope = scope.outer
+    if scope:
+        scope.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
-    jvm, root = spark.sparkContext._jvm, work_root(spark)
+    root = work_root(spark)
     for df in frames:
         for file in df.inputFiles()[:1]:
             folder = file.rsplit("/", 1)[0]
             if root.rsplit("/", 1)[1] in folder:
-                p = jvm.org.apache.hadoop.fs.Path(folder)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = _hadoop(spark, folder)
+                fs.delete(p, True)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores after it until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` are rows of Parquet files, each once at most and the same ones in every job."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "Parquet" in node.relation().toString()
+
+
+def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """``df`` with two long columns that tell its rows apart, the same in every job, and their names.
+
+    They are a hash of the file's path (two of a million files share one with a chance of
+    3e-8) and the place in that file. A plain scan of Parquet files has both for nothing;
+    anything else is written as a table first.
+    """
+    if not _scans_files(df):
+        df = materialize(df, name)
+    file, row = unused(df.columns, "row_file", "row_number")
+    place = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row)), file, row
 
 
 def _running(sums: list[str], schema: pa.Schema):
