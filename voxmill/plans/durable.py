@@ -117,7 +117,7 @@ def _scans_files(df: DataFrame) -> bool:
     node = df._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
         node = node.children().head()
-    return node.nodeName() == "LogicalRelation" and "Parquet" in node.relation().toString()
+    return node.nodeName() == "LogicalRelation" and node.relation().toString().lower() == "parquet"
 
 
 def with_row_key(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
