@@ -36,6 +36,8 @@ def label_roots(vol: Volume, threshold: float | None = None, connectivity: int |
     """
     if connectivity is not None and not 1 <= connectivity <= vol.ndim:
         raise ValueError(f"connectivity is from 1 to {vol.ndim}")
+    if vol.fill != 0 if threshold is None else vol.fill > threshold:
+        vol = vol.dense()
     rows = vol.df if mask is None else masked(vol, mask)
     fg = rows.where(F.col("v").cast("double") != 0 if threshold is None else F.col("v") > threshold)
     axes = vol.axes
@@ -66,4 +68,4 @@ def label(vol: Volume, threshold: float | None = None, connectivity: int | None
     """Components numbered 1..N in the order of their first voxels; the background is left out (0)."""
     rooted = materialize(label_roots(vol, threshold, connectivity, mask), "label_roots")
     numbers = with_prefix(rooted.select("root").distinct(), ["root"], [], "label_numbers").select("root", (F.col("row_index") + 1).alias("v"))
-    return replace(vol, df=rooted.join(numbers, "root").select(*vol.axes, "v"), dtype="uint64", fill=0)
+    return replace(vol, df=rooted.join(numbers, "root").select(*vol.axes, "v"), dtype="uint64", fill=0, complete=False)

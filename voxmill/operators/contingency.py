@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.volume import Volume, masked, same_shape
+from voxmill.volume import Volume, masked, same_shape, side_by_side
 
 
 @dataclass(frozen=True)
@@ -48,14 +48,22 @@ class ContingencyTable:
 
 
 def contingency_table(seg_a: Volume, seg_b: Volume, mask: Volume | None = None) -> ContingencyTable:
-    """Voxels for each pair of labels; background counts like any label. Integers only."""
+    """Voxels for each pair of labels; background counts like any label, also where no row holds it. Integers only."""
     same_shape(seg_a, seg_b)
     for v in (seg_a, seg_b):
         if np.dtype(v.dtype).kind not in "iu":
             raise ValueError("labels are integers")
-    rows = seg_a.df if mask is None else masked(seg_a, mask)
-    both = rows.withColumnRenamed("v", "label_a").join(seg_b.df.withColumnRenamed("v", "label_b"), list(seg_a.axes))
-    return from_labels(both, "label_a", "label_b")
+    if mask is not None:
+        both = masked(seg_a, mask).withColumnRenamed("v", "label_a").join(seg_b.df.select(*seg_b.axes, F.col("v").alias("label_b"), F.lit(True).alias("_in")), list(seg_a.axes), "inner" if seg_b.complete else "left")
+        return from_labels(both.withColumn("label_b", F.when(F.col("_in"), F.col("label_b")).otherwise(seg_b.blank)), "label_a", "label_b")
+    both, complete = side_by_side(seg_a, seg_b)
+    table = from_labels(both, "_v0", "_v1")
+    if complete:
+        return table
+    # what neither table has is one pair; it follows from the number of all voxels
+    rest = table.pairs.agg((F.lit(seg_a.size) - F.coalesce(F.sum("count"), F.lit(0))).alias("count")).where("count > 0")
+    rest = rest.select(seg_a.blank.cast("bigint").alias("label_a"), seg_b.blank.cast("bigint").alias("label_b"), "count")
+    return ContingencyTable(table.pairs.unionByName(rest).groupBy("label_a", "label_b").agg(F.sum("count").alias("count")))
 
 
 def from_labels(df: DataFrame, a: str, b: str) -> ContingencyTable:

@@ -90,7 +90,7 @@ def exact_distance_transform(vol: Volume, sampling=None) -> Volume:
     for axis, s in zip(vol.axes, step):
         rest = [a for a in vol.axes if a != axis]
         df = (df.groupBy(*rest) if rest else df.groupBy()).applyInPandas(_line_pass(axis, s), df.schema)
-    return replace(vol, df=df.select(*vol.axes, F.sqrt("v").cast(spark_type("float32")).alias("v")), dtype="float32")
+    return replace(vol, df=df.select(*vol.axes, F.sqrt("v").cast(spark_type("float32")).alias("v")), dtype="float32", complete=True)
 
 
 def map_points_to_objects(segmentation: Volume, points: DataFrame, max_distance: float, sampling=None) -> DataFrame:
@@ -99,6 +99,7 @@ def map_points_to_objects(segmentation: Volume, points: DataFrame, max_distance:
     ``points`` has a long ``id`` and a coordinate for each axis. A point meets the voxels of
     neighbouring grid cells by an equi-join; of equal distances the first voxel in C order counts.
     """
+    segmentation = segmentation.objects()
     axes, step = segmentation.axes, per_axis(sampling or 1.0, segmentation.ndim)
     width = max(float(max_distance), 1e-9)
     cell = lambda a, s: F.floor(F.col(a).cast("double") * s / width)

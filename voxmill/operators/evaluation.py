@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.contingency import ContingencyTable, contingency_table
-from voxmill.volume import Volume, masked, same_shape
+from voxmill.volume import Volume, masked, same_shape, side_by_side
 
 D = "double"
 
@@ -246,10 +247,16 @@ def symmetric_best_dice_score(seg: Volume, gt: Volume, ignore_label: int | None
 def dice_score(seg: Volume, gt: Volume, threshold_seg: float | None = 0, threshold_gt: float | None = 0, mask: Volume | None = None) -> DataFrame:
     """``2 sum(ab) / (sum(a) + sum(b) + 1e-7)`` over voxels; a threshold of None keeps values as they are. Nothing in the mask: 0."""
     same_shape(seg, gt)
-    rows = seg.df if mask is None else masked(seg, mask)
-    both = rows.join(gt.df.withColumnRenamed("v", "w"), list(seg.axes))
-    a, b = (F.col(c).cast(D) if t is None else (F.col(c) > t).cast(D) for c, t in (("v", threshold_seg), ("w", threshold_gt)))
-    return both.agg(F.coalesce(2 * F.sum(a * b) / (F.sum(a) + F.sum(b) + 1e-7), F.lit(0.0)).alias("dice"))
+    if mask is not None:
+        seg, gt = (replace(v, df=masked(v, mask), complete=True) for v in (seg, gt))
+    value = lambda c, t: c.cast(D) if t is None else (c > t).cast(D)
+    both, complete = side_by_side(seg, gt)
+    a, b = value(F.col("_v0"), threshold_seg), value(F.col("_v1"), threshold_gt)
+    sums = both.agg(F.sum(a * b).alias("ab"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.count(F.lit(1)).alias("n"))
+    if not complete:  # voxels that neither table has
+        a, b, n = value(seg.blank, threshold_seg), value(gt.blank, threshold_gt), F.lit(seg.size) - F.col("n")
+        sums = sums.select(*[(F.coalesce(k, F.lit(0.0)) + c * n).alias(k) for k, c in (("ab", a * b), ("a", a), ("b", b))])
+    return sums.select(F.coalesce(2 * F.col("ab") / (F.col("a") + F.col("b") + 1e-7), F.lit(0.0)).alias("dice"))
 
 
 # -- points ---------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from voxmill.volume import Volume
 
 def region_adjacency(seg: Volume) -> DataFrame:
     """Edges (u, v), u < v, of labels that touch along an axis, and ``size``, the number of touching faces."""
-    parts = None
+    parts, seg = None, seg.dense()
     for a in seg.axes:
         ahead = seg.df.select(*[(F.col(x) - 1).alias(x) if x == a else F.col(x) for x in seg.axes], F.col("v").alias("w"))
         e = seg.df.join(ahead, list(seg.axes)).where("v <> w").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v"))

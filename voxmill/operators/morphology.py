@@ -24,6 +24,7 @@ def _integers(vol: Volume) -> None:
 def morphology(vol: Volume, mask: Volume | None = None) -> DataFrame:
     """Per label but 0: size, com_* (mean coordinates), bb_min_* inclusive, bb_max_* exclusive; by label."""
     _integers(vol)
+    vol = vol.objects()
     rows = (vol.df if mask is None else masked(vol, mask)).where("v <> 0")
     aggs = [F.count(F.lit(1)).alias("size"), *[F.avg(F.col(a).cast(D)).alias(f"com_{a}") for a in vol.axes], *[F.min(a).alias(f"bb_min_{a}") for a in vol.axes], *[(F.max(a) + 1).alias(f"bb_max_{a}") for a in vol.axes]]
     return rows.groupBy(F.col("v").cast("bigint").alias("label")).agg(*aggs).orderBy("label")
@@ -100,7 +101,7 @@ def surface_area(vol: Volume, resolution) -> DataFrame:
     if vol.ndim != 3:
         raise ValueError("surface areas need three axes")
     areas = F.array(*map(F.lit, surface_areas(tuple(map(float, resolution)))))
-    rows = vol.df.where("v <> 0").select(F.col("v").cast("bigint").alias("label"), *vol.axes)
+    rows = vol.objects().df.where("v <> 0").select(F.col("v").cast("bigint").alias("label"), *vol.axes)
     parts = F.array(*[F.struct(F.lit(1 << (4 * (1 - dz) + 2 * (1 - dy) + (1 - dx))).alias("bit"), (F.col("z") + dz).alias("cz"), (F.col("y") + dy).alias("cy"), (F.col("x") + dx).alias("cx")) for dz, dy, dx in itertools.product((0, 1), repeat=3)])
     cubes = rows.select("label", F.explode(parts).alias("c")).groupBy("label", "c.cz", "c.cy", "c.cx").agg(F.sum("c.bit").cast("int").alias("code"))
     # the voxel at offset d of a cube has its corner bit set; cubes of 255 are interior
@@ -131,6 +132,7 @@ def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, co
     only sees objects whose center lies outside them.
     """
     _integers(vol)
+    vol = vol.objects()
     axes = vol.axes
     step = [float(r) for r in (resolution if resolution is not None and np.ndim(resolution) else [resolution or 1.0] * vol.ndim)]
     table = morphology(vol) if table is None else table

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxmill.functions import expr
-from voxmill.volume import Volume, same_shape, spark_type, write_masked
+from voxmill.volume import Volume, constant, same_shape, side_by_side, spark_type, write_masked
 
 
 def _result_dtype(name: str, x: Volume, y) -> str:
@@ -50,13 +50,18 @@ def apply_operation(x: Volume, y=None, operation: str | Callable = "add", output
             raise ValueError(f"shape {y.shape} cannot be broadcast to {x.shape}")
         if stretched and mask is not None:
             raise NotImplementedError("a mask does not go with broadcasting")
-        on = [a for i, a in enumerate(x.axes) if i not in stretched]
-        other = y.df.select(*on, F.col("v").alias("_b"))
-        # Spark picks the join by size: a stretched operand is small, one of full size is not
-        both = x.df.join(other, on) if on else x.df.withColumn("_b", F.lit(y.df.first()["v"]))
-        b = F.col("_b")
+        if stretched:
+            x, y = x.dense(), y.dense()
+            on = [a for i, a in enumerate(x.axes) if i not in stretched]
+            other = y.df.select(*on, F.col("v").alias("_b"))
+            # Spark picks the join by size: a stretched operand is small, one of full size is not
+            both, complete = x.df.join(other, on) if on else x.df.withColumn("_b", F.lit(y.df.first()["v"])), True
+        else:
+            both, complete = side_by_side(x, y)
+            both = both.withColumnsRenamed({"_v0": "v", "_v1": "_b"})
+        b, blank_b = F.col("_b"), y.blank
     else:
-        both, b = x.df, None if y is None else F.lit(y)
+        both, complete, b, blank_b = x.df, x.complete, None if y is None else F.lit(y), None
     if named:
         dtype = dtype or _result_dtype(operation, x, y)
         kinds = [x.dtype] + ([y.dtype] if isinstance(y, Volume) else [] if y is None else [np.result_type(np.dtype(x.dtype), y).name])
@@ -66,7 +71,8 @@ def apply_operation(x: Volume, y=None, operation: str | Callable = "add", output
     else:
         dtype = dtype or x.dtype
         value = (operation(F.col("v"), b) if b is not None else operation(F.col("v"))).cast(spark_type(dtype))
-    new = replace(x, df=both.select(*x.axes, value.alias("v")), dtype=np.dtype(dtype).name)
+    fill = x.fill if complete else constant(x.spark, value, v=x.blank, **({} if blank_b is None else {"_b": blank_b}))
+    new = replace(x, df=both.select(*x.axes, value.alias("v")), dtype=np.dtype(dtype).name, fill=fill, complete=complete)
     return write_masked(new, mask, output)
 
 
@@ -84,7 +90,7 @@ def isin(x: Volume, test_values, output: Volume | None = None, mask: Volume | No
         return write_masked(x.with_values(hit, "bool"), mask, output)
     table = x.spark.createDataFrame([(v,) for v in values.tolist()], f"t {'double' if values.dtype.kind == 'f' else 'bigint'}").withColumn("hit", F.lit(True))
     both = x.df.join(table, x.df["v"] == table["t"], "left")
-    return write_masked(replace(x, df=both.select(*x.axes, F.coalesce("hit", F.lit(False)).alias("v")), dtype="bool"), mask, output)
+    return write_masked(replace(x, df=both.select(*x.axes, F.coalesce("hit", F.lit(False)).alias("v")), dtype="bool", fill=bool(np.isin(x.fill, values))), mask, output)
 
 
 def copy(x: Volume, output: Volume | None = None, dtype: str | None = None, mask: Volume | None = None) -> Volume:

@@ -34,12 +34,20 @@ def relabel(vol: Volume, labeling, mask: Volume | None = None, dtype: str | None
         if dense.ndim != 1 or dense.dtype.kind not in "iu":
             raise ValueError("a dense labeling is a 1-D array of integers")
         table = vol.spark.createDataFrame(list(enumerate(map(int, dense))), "old bigint, new bigint")
+    fill = vol.fill
+    if mask is None and vol.missing():
+        held = table.where(F.col("old") == int(vol.fill)).first()
+        if held is None:
+            raise ValueError(f"no entry for id {int(vol.fill)}")
+        fill = held["new"]
+    elif mask is not None:
+        vol = vol.dense()
     both = vol.df.join(table, vol.df["v"] == table["old"], "left")
     missing = F.raise_error(F.concat(F.lit("no entry for id "), F.col("v").cast("string"))).cast("bigint")
     if mask is None:
         value = F.when(F.col("new").isNull(), missing).otherwise(F.col("new"))
-        return replace(vol, df=both.select(*vol.axes, value.alias("v")), dtype=dtype or "uint64")
-    inside = mask.df.where(F.col("v").cast("double") != 0).select(*vol.axes, F.lit(True).alias("_in"))
+        return replace(vol, df=both.select(*vol.axes, value.alias("v")), dtype=dtype or "uint64", fill=fill)
+    inside = mask.objects().df.where(F.col("v").cast("double") != 0).select(*vol.axes, F.lit(True).alias("_in"))
     both = both.join(inside, list(vol.axes), "left")
     value = F.when(F.col("_in").isNull(), F.col("v").cast("bigint")).when(F.col("new").isNull(), missing).otherwise(F.col("new"))
     return replace(vol, df=both.select(*vol.axes, value.alias("v")), dtype=dtype or "uint64")
@@ -48,6 +56,8 @@ def relabel(vol: Volume, labeling, mask: Volume | None = None, dtype: str | None
 def consecutive_mapping(vol: Volume, start_label: int = 0, keep_zeros: bool = True) -> DataFrame:
     """(old, new): distinct ids in ascending order from ``start_label``; 0 stays 0 if ``keep_zeros``, yet takes a rank."""
     ids = vol.df.select(F.col("v").cast("bigint").alias("old")).distinct()
+    if vol.missing():
+        ids = ids.union(vol.spark.range(1).select(vol.blank.cast("bigint"))).distinct()
     ranked = with_prefix(ids, ["old"], [], "relabel")
     new = F.col("row_index") + start_label
     return ranked.select("old", (F.when(F.col("old") == 0, F.lit(0).cast("bigint")).otherwise(new) if keep_zeros else new).alias("new"))
@@ -66,6 +76,7 @@ def size_filter(vol: Volume, min_size: int | None = None, max_size: int | None =
     _integers(vol)
     if min_size is None and max_size is None:
         raise ValueError("give min_size, max_size or both")
+    vol = vol.objects()
     sizes = vol.df.groupBy(F.col("v").cast("bigint").alias("old")).agg(F.count(F.lit(1)).alias("n"))
     good = F.lit(True)
     if min_size is not None:

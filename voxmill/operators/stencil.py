@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.volume import Volume, axis_names, block_grid, derive_block_shape, same_shape, spark_type, write_masked
+from voxmill.volume import Volume, axis_names, block_grid, derive_block_shape, same_shape, side_by_side, spark_type, write_masked
 
 
 def per_axis(value, ndim: int) -> list[float]:
@@ -53,17 +53,20 @@ def map_blocks(vol: Volume, kernel: Callable, block_shape=None, halo=0, others:
     halo = normalize_halo(halo, vol.ndim)
     axes, shape, fill, n = vol.axes, vol.shape, vol.fill, block_grid(vol.shape, block)
     dtype = np.dtype(dtype or vol.dtype).name
-    joined = vol.df
-    names = ["v"]
-    for i, o in enumerate(others):
-        same_shape(vol, o)
-        joined = joined.join(o.df.withColumnRenamed("v", f"_o{i}"), list(axes), "left")
-        names.append(f"_o{i}")
+    joined, complete = side_by_side(vol, *others)
+    names = ["v", *[f"_o{i}" for i in range(len(others))]]
+    joined = joined.withColumnsRenamed({f"_v{i}": c for i, c in enumerate(names)})
     if mask is not None:
         same_shape(vol, mask)
-        joined = joined.join(mask.df.select(*axes, (F.col("v").cast("double") != 0).alias("_m")), list(axes), "left")
+        inside = mask.objects().df.where(F.col("v").cast("double") != 0).select(*axes, F.lit(True).alias("_m"))
+        joined = joined.withColumn("_held", F.lit(True)).join(inside, list(axes), "left" if complete else "full")
+        blanks = zip(names, [v.blank for v in (vol, *others)])
+        joined = joined.select(*axes, *[F.when(F.col("_held"), F.col(c)).otherwise(b).alias(c) for c, b in blanks], "_m")
         names.append("_m")
     rows = explode_halo(replace(vol, df=joined), block, halo)
+    if not complete:  # a block without any row is computed, too
+        held = [v.blank.alias(c) for c, v in zip(names, (vol, *others))]
+        rows = rows.unionByName(vol.spark.range(math.prod(n)).select(F.col("id").alias("_block"), *held), allowMissingColumns=True)
     in_kinds = [vol.dtype, *[o.dtype for o in others]]
     fills = [fill, *[o.fill for o in others]]
     masked_ = mask is not None
@@ -73,11 +76,13 @@ def map_blocks(vol: Volume, kernel: Callable, block_shape=None, halo=0, others:
         at = np.array(np.unravel_index(int(key[0]), n))
         low = np.maximum(at * block - halo, 0)
         high = np.minimum((at + 1) * block + halo, shape)
+        if not complete:
+            pdf = pdf[pdf[axes[0]].notna()]
         place = tuple((pdf[a].to_numpy(np.int64) - l) for a, l in zip(axes, low))
         parts = []
         for c, kind, f in zip(names, in_kinds, fills):
             arr = np.full(high - low, f, kind)
-            arr[place] = pdf[c].fillna(f).to_numpy()
+            arr[place] = pdf[c].to_numpy()
             parts.append(arr)
         inside = np.ones(high - low, bool)
         if masked_:
@@ -99,8 +104,8 @@ def map_blocks(vol: Volume, kernel: Callable, block_shape=None, halo=0, others:
         new_axes = axis_names(vol.ndim + 1)
         stacked = out.select(*[F.col(a).alias(f"_{a}") for a in axes], F.posexplode(F.array(*channels)).alias("_c", "v"))
         stacked = stacked.select(F.col("_c").cast("bigint").alias(new_axes[0]), *[F.col(f"_{a}").alias(b) for a, b in zip(axes, new_axes[1:])], "v")
-        return Volume(stacked, (len(channels), *shape), dtype)
-    return write_masked(replace(vol, df=out, dtype=dtype, block_shape=tuple(block)), mask, old)
+        return Volume(stacked, (len(channels), *shape), dtype, complete=True)
+    return write_masked(replace(vol, df=out, dtype=dtype, block_shape=tuple(block), complete=True), mask, old)
 
 
 # -- gaussian family ------------------------------------------------------------------------
@@ -230,6 +235,7 @@ def find_local_maxima(vol: Volume, min_distance: int = 1, threshold_abs: float |
     """
     from pyspark.sql import Window
 
+    vol = vol.dense()
     axes, d = vol.axes, int(min_distance)
     top = vol.df.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
     level = top["a"] if threshold_abs is None else threshold_abs

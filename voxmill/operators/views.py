@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import expr
 from voxmill.indexing import normalize_index
 from voxmill.operators.stencil import map_blocks
-from voxmill.volume import Volume, axis_names, block_id, crop, derive_block_shape, grid, same_shape, spark_type
+from voxmill.volume import Volume, axis_names, block_id, constant, crop, derive_block_shape, grid, side_by_side, spark_type
 
 
 def transform(vol: Volume, transformation: Callable, dtype: str | None = None, halo=None, block_shape=None) -> Volume:
@@ -25,20 +25,19 @@ def transform(vol: Volume, transformation: Callable, dtype: str | None = None, h
 
 def transform_with_coordinates(vol: Volume, transformation: Callable, dtype: str | None = None) -> Volume:
     """``transformation(value, *coordinates)``, all columns."""
+    vol = vol.dense()
     return vol.with_values(transformation(F.col("v"), *map(F.col, vol.axes)), dtype)
 
 
 def transform_many(transformation: Callable, *vols: Volume, apply_to_list: bool = False, dtype: str | None = None) -> Volume:
     """``transformation`` of the columns of volumes of equal shape, joined on coordinates."""
-    same_shape(*vols)
-    first = vols[0]
-    df = first.df.withColumnRenamed("v", "_v0")
-    for i, v in enumerate(vols[1:], 1):
-        df = df.join(v.df.withColumnRenamed("v", f"_v{i}"), list(first.axes))
+    first, (df, complete) = vols[0], side_by_side(*vols)
     cols = [F.col(f"_v{i}") for i in range(len(vols))]
     value = transformation(cols) if apply_to_list else transformation(*cols)
     dtype = np.dtype(dtype or first.dtype).name
-    return replace(first, df=df.select(*first.axes, value.cast(spark_type(dtype)).alias("v")), dtype=dtype)
+    value = value.cast(spark_type(dtype))
+    fill = first.fill if complete else constant(first.spark, value, **{f"_v{i}": v.blank for i, v in enumerate(vols)})
+    return replace(first, df=df.select(*first.axes, value.alias("v")), dtype=dtype, fill=fill, complete=complete)
 
 
 def threshold(vol: Volume, value: float, operator: Callable = expr.greater) -> Volume:
@@ -47,7 +46,7 @@ def threshold(vol: Volume, value: float, operator: Callable = expr.greater) -> V
 
 def normalize(vol: Volume, dtype: str = "float32", block_shape=None) -> Volume:
     """``(v - min) / (max - min + 1e-6)`` with the least and greatest value of each block, not of the whole."""
-    block = derive_block_shape(vol.shape, block_shape or vol.block_shape)
+    vol, block = vol.dense(), derive_block_shape(vol.shape, block_shape or vol.block_shape)
     v = F.col("v").cast("double")
     ends = vol.df.groupBy(block_id(vol, block).alias("_b")).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     both = vol.df.withColumn("_b", block_id(vol, block)).join(ends, "_b")
@@ -87,7 +86,7 @@ def pad(vol: Volume, pad_width: Sequence[int], mode: str = "constant", value: fl
     inside = reduce(lambda p, q: p & q, [F.col(a) < n for a, n in zip(names, vol.shape)])
     blank = F.lit(value if mode == "constant" else vol.fill)
     v = F.coalesce(F.col("v"), F.when(inside, F.lit(vol.fill)).otherwise(blank).cast(spark_type(vol.dtype)))
-    return replace(vol, df=both.select(*names, v.alias("v")), shape=shape, block_shape=None)
+    return replace(vol, df=both.select(*names, v.alias("v")), shape=shape, block_shape=None, complete=True)
 
 
 def expand_dims(vol: Volume, axis: int | Sequence[int] = 0) -> Volume:

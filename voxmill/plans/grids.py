@@ -14,12 +14,15 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"), "label").select("y", F.col("x").cast("bigint").alias("x"), F.col("v").cast("double").alias("v"), "label")
 
 
-def _height(spark, sf_dir) -> int:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id")).first()[0] + 1
+def _rows(spark, sf_dir) -> tuple[int, bool]:
+    """Height of the image, and whether each of its rows is there."""
+    r = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.max("vec_id").alias("top"), F.count(F.when(F.size("embedding") == 64, 1)).alias("n")).first()
+    return r["top"] + 1, r["n"] == r["top"] + 1
 
 
 def image(spark: SparkSession, sf_dir: str) -> Volume:
-    return Volume(image_rows(spark, sf_dir).select("y", "x", "v"), (_height(spark, sf_dir), 64), "float64")
+    height, complete = _rows(spark, sf_dir)
+    return Volume(image_rows(spark, sf_dir).select("y", "x", "v"), (height, 64), "float64", complete=complete)
 
 
 def labels_a(spark: SparkSession, sf_dir: str) -> Volume:
@@ -28,19 +31,19 @@ def labels_a(spark: SparkSession, sf_dir: str) -> Volume:
 
 
 def labels_b(spark: SparkSession, sf_dir: str) -> Volume:
-    rows = image_rows(spark, sf_dir)
-    return Volume(rows.select("y", "x", (F.floor((F.col("v") + 0.6) * 4) + F.col("label") % 2).cast("bigint").alias("v")), (_height(spark, sf_dir), 64), "int64")
+    rows, (height, complete) = image_rows(spark, sf_dir), _rows(spark, sf_dir)
+    return Volume(rows.select("y", "x", (F.floor((F.col("v") + 0.6) * 4) + F.col("label") % 2).cast("bigint").alias("v")), (height, 64), "int64", complete=complete)
 
 
 def mask(spark: SparkSession, sf_dir: str) -> Volume:
     """A box that no block fits: rows 10 to 299, columns 5 to 39."""
-    g = image(spark, sf_dir)
+    g = image(spark, sf_dir).dense()
     return g.with_values((F.col("y").between(10, 299) & F.col("x").between(5, 39)).cast("int"), "uint8")
 
 
 def scattered_mask(spark: SparkSession, sf_dir: str) -> Volume:
     """A rule over all rows: four voxels of seven."""
-    g = image(spark, sf_dir)
+    g = image(spark, sf_dir).dense()
     return g.with_values(((F.col("y") * 5 + F.col("x") * 3) % 7 < 4).cast("int"), "uint8")
 
 

@@ -1,7 +1,9 @@
 """Volumes: n-dimensional arrays as voxel tables, one row per voxel.
 
 A volume is a DataFrame with a long column per axis and a value column ``v``. Voxels may be
-missing from the table (a sparse volume): they hold ``fill``. All coordinates are zero-based.
+missing from the table (a sparse volume): they hold ``fill``, and every operator counts them.
+Where it is known that none is missing (``complete``), operators skip what that costs. All
+coordinates are zero-based.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ class Volume:
     dtype: str = "float64"
     block_shape: tuple[int, ...] | None = None
     fill: float = 0
+    complete: bool = False
 
     @property
     def ndim(self) -> int:
@@ -59,8 +62,24 @@ class Volume:
         return self.df.sparkSession
 
     def with_values(self, value: Column, dtype=None) -> Volume:
+        """``value``, an expression of ``v``, for each voxel, those missing included."""
         dtype = np.dtype(dtype or self.dtype).name
-        return replace(self, df=self.df.select(*self.axes, value.cast(spark_type(dtype)).alias("v")), dtype=dtype)
+        value = value.cast(spark_type(dtype))
+        fill = self.fill if self.complete else constant(self.spark, value, v=self.blank)
+        return replace(self, df=self.df.select(*self.axes, value.alias("v")), dtype=dtype, fill=fill)
+
+    @property
+    def blank(self) -> Column:
+        """What missing voxels hold."""
+        return F.lit(self.fill).cast(spark_type(self.dtype))
+
+    def missing(self) -> int:
+        """How many voxels the table lacks."""
+        return 0 if self.complete else self.size - self.df.count()
+
+    def objects(self) -> Volume:
+        """The same for operators on voxels that are not zero: made dense only if missing voxels are none of these."""
+        return self if self.complete or self.fill == 0 else self.dense()
 
     def linear(self) -> Column:
         """C-order index of a voxel."""
@@ -71,9 +90,12 @@ class Volume:
 
     def dense(self) -> Volume:
         """The same with a row for every voxel."""
+        if self.complete:
+            return self
         full = grid(self.spark, self.shape)
-        got = full.join(self.df, list(self.axes), "left").select(*self.axes, F.coalesce("v", F.lit(self.fill).cast(spark_type(self.dtype))).alias("v"))
-        return replace(self, df=got)
+        held = self.df.withColumn("_held", F.lit(True))
+        got = full.join(held, list(self.axes), "left").select(*self.axes, F.when(F.col("_held"), F.col("v")).otherwise(self.blank).alias("v"))
+        return replace(self, df=got, complete=True)
 
     def to_numpy(self) -> np.ndarray:
         """The whole array on the driver: for results that fit there."""
@@ -90,6 +112,31 @@ class Volume:
         return crop(self, slices, squeezed)
 
 
+def constant(spark: SparkSession, value: Column, **columns: Column):
+    """What an expression of ``columns``, all constant, comes to."""
+    return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).select(value.alias("_")).first()[0]
+
+
+def side_by_side(*vols: Volume) -> tuple[DataFrame, bool]:
+    """Volumes of equal shape joined on coordinates, values as ``_v0``, ``_v1`` ..., and whether all voxels are there.
+
+    Complete volumes meet by an inner join. Else a voxel is in the result if any has it, and
+    those that lack it give their ``fill``; voxels that all lack are still missing.
+    """
+    same_shape(*vols)
+    axes, first = list(vols[0].axes), vols[0]
+    if all(v.complete for v in vols):
+        df = first.df.select(*axes, F.col("v").alias("_v0"))
+        for i, v in enumerate(vols[1:], 1):
+            df = df.join(v.df.select(*axes, F.col("v").alias(f"_v{i}")), axes)
+        return df, True
+    df = first.df.select(*axes, F.col("v").alias("_v0"), F.lit(True).alias("_in0"))
+    for i, v in enumerate(vols[1:], 1):
+        df = df.join(v.df.select(*axes, F.col("v").alias(f"_v{i}"), F.lit(True).alias(f"_in{i}")), axes, "full")
+    held = [F.when(F.col(f"_in{i}"), F.col(f"_v{i}")).otherwise(v.blank).alias(f"_v{i}") for i, v in enumerate(vols)]
+    return df.select(*axes, *held), any(v.complete for v in vols)
+
+
 def crop(vol: Volume, slices: Sequence[slice], squeezed: Sequence[int] = ()) -> Volume:
     """Voxels inside a box, with coordinates from its corner; ``squeezed`` axes of length one go."""
     keep = [i for i in range(vol.ndim) if i not in squeezed]
@@ -121,7 +168,7 @@ def from_numpy(spark: SparkSession, array, block_shape=None) -> Volume:
     kind = spark_type(array.dtype)
     data["v"] = array.ravel().astype({"smallint": "int16", "int": "int32", "bigint": "int64", "tinyint": "int8"}.get(kind, array.dtype))
     df = spark.createDataFrame(pd.DataFrame(data), ", ".join(f"{a} bigint" for a in axes) + f", v {kind}")
-    return Volume(df, array.shape, array.dtype.name, tuple(block_shape) if block_shape else None)
+    return Volume(df, array.shape, array.dtype.name, tuple(block_shape) if block_shape else None, complete=True)
 
 
 _CONVERTERS: list[tuple[Callable, Callable]] = []
@@ -177,16 +224,20 @@ def block_id(vol: Volume, block: Sequence[int]) -> Column:
 
 
 def select_blocks(vol: Volume, block_ids: Sequence[int], block_shape=None) -> Volume:
-    """Only the voxels of some blocks."""
+    """Only the voxels of some blocks; what is left counts as all there is."""
+    vol = vol.dense()
     block = derive_block_shape(vol.shape, block_shape or vol.block_shape)
     return replace(vol, df=vol.df.where(block_id(vol, block).isin([int(i) for i in block_ids])))
 
 
 def masked(vol: Volume, mask: Volume) -> DataFrame:
-    """Rows of ``vol`` where the mask is not zero."""
+    """Rows of ``vol`` where the mask is not zero, one for each voxel there."""
     same_shape(vol, mask)
-    inside = mask.df.where(F.col("v").cast("double") != 0).select(*vol.axes)
-    return vol.df.join(inside, list(vol.axes), "left_semi")
+    inside = mask.objects().df.where(F.col("v").cast("double") != 0).select(*vol.axes)
+    if vol.complete:
+        return vol.df.join(inside, list(vol.axes), "left_semi")
+    held = inside.join(vol.df.withColumn("_held", F.lit(True)), list(vol.axes), "left")
+    return held.select(*vol.axes, F.when(F.col("_held"), F.col("v")).otherwise(vol.blank).alias("v"))
 
 
 def write_masked(new: Volume, mask: Volume | None, old: Volume | None = None) -> Volume:
@@ -194,10 +245,10 @@ def write_masked(new: Volume, mask: Volume | None, old: Volume | None = None) ->
     if mask is None:
         return new
     same_shape(new, mask)
-    kind = spark_type(new.dtype)
-    inside = mask.df.where(F.col("v").cast("double") != 0).select(*new.axes, F.lit(True).alias("_in"))
+    new, kind = new.dense(), spark_type(new.dtype)
+    inside = mask.objects().df.where(F.col("v").cast("double") != 0).select(*new.axes, F.lit(True).alias("_in"))
     both = new.df.join(inside, list(new.axes), "left")
     if old is not None:
         both = both.join(old.df.select(*new.axes, F.col("v").alias("_old")), list(new.axes), "left")
-    kept = F.coalesce(F.col("_old").cast(kind), F.lit(0).cast(kind)) if old is not None else F.lit(0).cast(kind)
+    kept = F.coalesce(F.col("_old").cast(kind), F.lit(old.fill).cast(kind)) if old is not None else F.lit(0).cast(kind)
     return replace(new, df=both.select(*new.axes, F.when(F.col("_in"), F.col("v")).otherwise(kept).alias("v")))
