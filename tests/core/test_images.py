@@ -265,6 +265,12 @@ def test_affine_matrices():
     want[:3, 3] = 1, 2, 3
     assert np.allclose(resample.compute_affine_matrix(translation=[1, 2, 3]), want)
     assert resample.transform_coordinate((1, 2), np.diag([2, 3, 1])) == (2, 6)
+    c, s = (lambda d: math.cos(math.radians(d))), (lambda d: math.sin(math.radians(d)))
+    first = np.array([[1, 0, 0], [0, c(20), -s(20)], [0, s(20), c(20)]])
+    second = np.array([[c(35), 0, s(35)], [0, 1, 0], [-s(35), 0, c(35)]])
+    third = np.array([[c(50), -s(50), 0], [s(50), c(50), 0], [0, 0, 1]])
+    got = resample.compute_affine_matrix(scale=[1, 2, 3], rotation=[20, 35, 50])
+    assert np.allclose(got[:3, :3], third @ second @ first @ np.diag([1, 2, 3])) and np.allclose(got[3], [0, 0, 0, 1])
     assert resample.transform_roi_with_affine((0, 0), (2, 2), np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]])) == ([-2, 0], [0, 2])
 
 
@@ -333,7 +339,49 @@ def adapted_rand(a, b):
     return 1 - 2 * p * r / (p + r)
 
 
-def test_stitching(spark, rng):
+def test_overlaps_count_relative_to_the_object_behind_the_face(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stitching, "_stitch", lambda seg, overlaps, *_: seen.append({(r["u"], r["v"]): r["fraction"] for r in overlaps.collect()}) or seg)
+    a = np.zeros((8, 12), int)
+    a[:, :6], a[1:5, 6:] = 1, 2
+    a[5:7, 6:] = 3
+    a[0, 4:6] = 4  # not behind the face of 2 or 3
+    stitching.stitch_tiled_segmentation(from_numpy(spark, a), (8, 6))
+    assert seen.pop() == {(1, 2): 1.0, (1, 3): 1.0}  # of the lower object they would be 4 / 7 and 2 / 7
+    b = np.zeros((8, 12), int)
+    b[2:4, :6], b[:, 6:] = 1, 2
+    stitching.stitch_tiled_segmentation(from_numpy(spark, b), (8, 6), overlap=2)
+    assert seen.pop() == {(1, 2): 0.25}
+
+    def segment(tile, number):  # the first tile sees one object, the second two of unequal size
+        out = np.ones(tile.shape, int)
+        if number:
+            out[:2] = 2
+        return out
+
+    stitching.stitch_segmentation(from_numpy(spark, np.ones((8, 12), "uint8")), segment, (8, 6), 2)
+    assert set(seen.pop().values()) == {1.0}
+
+
+def test_stitching_with_channels(spark):
+    rng = np.random.default_rng(5)
+    a = smooth(rng.random((40, 40)), 2.0, (0, 0)) > 0.5
+    many = np.stack([a, ~a, a * 3], axis=-1).astype("uint8")
+
+    def segment(tile, number):
+        assert tile.shape[2] == 3 and (tile[..., 0] + tile[..., 1] == 1).all()
+        return flood_fill(tile[..., 0] > 0)
+
+    got, raw = stitching.stitch_segmentation(from_numpy(spark, many), segment, (20, 20), 8, shape=a.shape, return_before_stitching=True)
+    assert got.shape == raw.shape == a.shape and got.axes == ("y", "x")
+    got = got.to_numpy()
+    assert ((got == 0) == ~a).all() and adapted_rand(got, flood_fill(a)) <= 0.05
+    with pytest.raises(ValueError):
+        stitching.stitch_segmentation(from_numpy(spark, many), segment, (20, 20), 8, shape=(40, 30))
+
+
+def test_stitching(spark):
+    rng = np.random.default_rng(17)
     a = smooth(rng.random((64, 64)), 3.0, (0, 0)) > 0.5
     want = flood_fill(a)
 

@@ -41,11 +41,11 @@ def compute_affine_matrix(scale=None, rotation=None, shear=None, translation=Non
         turn[:2, :2] = [[size[0] * math.cos(t), -size[1] * math.sin(t + lean)], [size[0] * math.sin(t), size[1] * math.cos(t + lean)]]
         m = turn
     else:
+        # the first angle turns about the first axis, and so on, in that order; each turns the axis after its own to the next
         for i, t in enumerate(angle):
-            r = np.eye(4)
-            a, b = [k for k in range(3) if k != i]
+            r, a, b = np.eye(4), (i + 1) % 3, (i + 2) % 3
             r[a, a], r[a, b], r[b, a], r[b, b] = math.cos(t), -math.sin(t), math.sin(t), math.cos(t)
-            turn = turn @ r
+            turn = r @ turn
         m = turn @ np.diag([*size, 1.0])
     if translation is not None:
         m[:n, n] = translation
@@ -146,7 +146,7 @@ def _cast(vol: Volume, df: DataFrame, shape, dtype=None) -> Volume:
     dtype = np.dtype(dtype or vol.dtype).name
     v = F.rint("v") if np.dtype(dtype).kind in "iu" else F.col("v")
     v = v >= 0.5 if dtype == "bool" else v.cast(spark_type(dtype))
-    return replace(vol, df=df.select(*vol.axes, v.alias("v")), shape=tuple(shape), dtype=dtype, block_shape=None, fill=0)
+    return replace(vol, df=df.select(*vol.axes, v.alias("v")), shape=tuple(shape), dtype=dtype, block_shape=None, fill=0, complete=False)
 
 
 def _plain(vol: Volume) -> Volume:
@@ -179,7 +179,7 @@ def resize(vol: Volume, shape: Sequence[int], order: int = 0, anti_aliasing: boo
     src = _blurred(_plain(vol), scale) if anti_aliasing and order else _plain(vol)
     # beyond the last voxel its value goes on
     where = {a: F.least(F.col(a) * float(n) / float(m), F.lit(float(n - 1))) for a, n, m in zip(vol.axes, vol.shape, shape)}
-    return _cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape)
+    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape), complete=True)
 
 
 def downsample(vol: Volume, scale_factor, order: int = 0, anti_aliasing: bool = False) -> Volume:
@@ -209,11 +209,15 @@ def affine(vol: Volume, shape: Sequence[int], affine_matrix=None, scale=None, ro
             if m[i, j]:
                 c = c + F.lit(float(m[i, j])) * (F.col(b) + begin[j])
         where[a] = c
-    return _cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape)
+    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape), complete=True)
 
 
-def transform_subvolume_affine(vol: Volume, matrix, roi: Sequence[slice], order: int = 0, fill_value: float = 0) -> Volume:
-    """The part ``roi`` of the affine view."""
+def transform_subvolume_affine(vol: Volume, matrix, roi: Sequence[slice], order: int = 0, fill_value: float = 0, sigma=None) -> Volume:
+    """The part ``roi`` of the affine view, of the volume smoothed by ``sigma`` (one for all axes or one each) if given."""
+    if sigma is not None:
+        from voxmill.operators.stencil import gaussian_smoothing
+
+        vol = gaussian_smoothing(_plain(vol), sigma)
     return affine(vol, [s.stop - s.start for s in roi], affine_matrix=matrix, order=order, fill_value=fill_value, offset=[s.start for s in roi])
 
 

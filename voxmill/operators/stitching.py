@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -16,7 +15,7 @@ from voxmill.operators.graph import multicut_decomposition, probabilities_to_cos
 from voxmill.operators.relabel import relabel_consecutive
 from voxmill.operators.stencil import explode_halo, normalize_halo
 from voxmill.plans.durable import materialize
-from voxmill.volume import Volume, block_grid
+from voxmill.volume import Volume, axis_names, block_grid
 
 
 def _stitch(seg: Volume, overlaps: DataFrame, beta: float, with_background: bool) -> Volume:
@@ -37,35 +36,43 @@ def stitch_tiled_segmentation(segmentation: Volume, tile_shape: Sequence[int], o
     """Join objects over the faces of tiles whose ids are unique.
 
     Slabs ``overlap`` thick on both sides of a face are compared voxel by voxel at that
-    offset; an overlap counts relative to the object's size in its slab.
+    offset; an overlap counts relative to the size that the object behind the face has in its
+    slab. A last tile thinner than ``overlap`` is not measured.
     """
-    parts = None
+    parts, segmentation = None, segmentation.dense()
     for a, t, n in zip(segmentation.axes, tile_shape, segmentation.shape):
         x = F.col(a)
         face = F.floor((x + overlap) / t)  # number of the face that a voxel lies before
-        low = segmentation.df.where((x % t >= t - overlap) & (face * t < n)).withColumn("_f", face)
-        # pairs mirror at the face: the voxel k before it meets the one k behind
+        low = segmentation.df.where((x % t >= t - overlap) & (face * t + overlap <= n)).withColumn("_f", face)
+        # the slab before the face is laid on the one behind it
         high = segmentation.df.where((x % t < overlap) & (x >= t)).withColumn("_f", F.floor(x / t))
         left = low.select(*[F.col(b) if b != a else (x - F.col("_f") * t + overlap).alias(a) for b in segmentation.axes], "_f", F.col("v").alias("u"))
         right = high.select(*[F.col(b) if b != a else (x - F.col("_f") * t).alias(a) for b in segmentation.axes], "_f", F.col("v").alias("w"))
         tile = F.concat_ws(",", *[F.floor(F.col(b) / s) for b, s in zip(segmentation.axes, tile_shape) if b != a], F.col("_f")) if segmentation.ndim > 1 else F.col("_f").cast("string")
         both = left.join(right, [*segmentation.axes, "_f"]).withColumn("_t", tile)
         pairs = both.groupBy("_t", "u", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        sizes = both.groupBy("_t", "u").agg(F.count(F.lit(1)).alias("s"))
-        e = pairs.join(sizes, ["_t", "u"]).select("u", "v", (F.col("n") / F.col("s")).alias("fraction"))
+        sizes = both.groupBy("_t", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("s"))
+        e = pairs.join(sizes, ["_t", "v"]).select("u", "v", (F.col("n") / F.col("s")).alias("fraction"))
         parts = e if parts is None else parts.unionByName(e)
     if with_background:
         parts = parts.where("u <> 0 AND v <> 0")
     return _stitch(segmentation, parts, beta, with_background)
 
 
-def stitch_segmentation(vol: Volume, segmentation_function: Callable, tile_shape: Sequence[int], tile_overlap, beta: float = 0.5, with_background: bool = True, return_before_stitching: bool = False):
+def stitch_segmentation(vol: Volume, segmentation_function: Callable, tile_shape: Sequence[int], tile_overlap, beta: float = 0.5, with_background: bool = True, return_before_stitching: bool = False, shape: Sequence[int] | None = None):
     """Segment haloed tiles by ``segmentation_function(tile, tile_id)`` and join objects where the halos overlap.
 
-    Tiles keep their halos, so overlaps are a self-join of tile rows on coordinates. Ids are made
-    unique by the tile's number and consecutive in the end.
+    Axes of ``vol`` beyond those of ``shape`` are channels: tiles have all of them, the segmentation
+    has none. Tiles keep their halos, so overlaps are a self-join of tile rows on coordinates; one
+    counts relative to the size that the object of the later tile has where both tiles lie. Ids
+    are made unique by the tile's number and consecutive in the end.
     """
-    halo, axes, shape = normalize_halo(tile_overlap, vol.ndim), vol.axes, vol.shape
+    vol, given = vol.dense(), vol.axes
+    shape = tuple(vol.shape if shape is None else shape)
+    if vol.shape[: len(shape)] != shape:
+        raise ValueError(f"shape {shape} does not fit {vol.shape}")
+    channels, axes = vol.shape[len(shape) :], axis_names(len(shape))
+    halo = normalize_halo(tile_overlap, len(shape))
     tiles = block_grid(shape, tile_shape)
     span = math.prod(t + 2 * h for t, h in zip(tile_shape, halo))
     if math.prod(tiles) * span >= 1 << 63:
@@ -77,32 +84,28 @@ def stitch_segmentation(vol: Volume, segmentation_function: Callable, tile_shape
         number = int(key[0])
         at = np.array(np.unravel_index(number, tiles))
         low, high = np.maximum(at * tile - halo, 0), np.minimum((at + 1) * tile + halo, shape)
-        arr = np.full(high - low, fill, dtype)
-        arr[tuple(pdf[a].to_numpy(np.int64) - l for a, l in zip(axes, low))] = pdf["v"].to_numpy()
+        arr = np.full([*(high - low), *channels], fill, dtype)
+        arr[tuple(pdf[a].to_numpy(np.int64) - l for a, l in zip(given, [*low, *[0] * len(channels)]))] = pdf["v"].to_numpy()
         seg = np.asarray(segmentation_function(arr, number)).astype(np.int64)
         seg = np.where(seg != 0, seg + number * span, 0) if with_background else seg + number * span
-        coords = np.indices(arr.shape)
-        inner = np.ones(arr.shape, bool)
+        coords = np.indices(seg.shape)
+        inner = np.ones(seg.shape, bool)
         for c, l, b, t in zip(coords, low, at, tile):
             inner &= (c + l >= b * t) & (c + l < (b + 1) * t)
         return pd.DataFrame({"tile": number, **{a: (c + l).ravel() for a, c, l in zip(axes, coords, low)}, "v": seg.ravel(), "inner": inner.ravel()})
 
-    rows = explode_halo(vol, tile, halo)
+    rows = explode_halo(vol, (*tile, *channels), (*halo, *[0] * len(channels)))
     tiled = materialize(rows.groupBy("_block").applyInPandas(run, "tile bigint, " + ", ".join(f"{a} bigint" for a in axes) + ", v bigint, inner boolean"), "stitch_tiles")
-    raw = replace(vol, df=tiled.where("inner").select(*axes, "v"), dtype="uint64", fill=0, block_shape=tile)
+    raw = replace(vol, df=tiled.where("inner").select(*axes, "v"), shape=shape, dtype="uint64", fill=0, block_shape=tile)
     left = tiled.select("tile", *axes, F.col("v").alias("u"))
     right = tiled.select(F.col("tile").alias("tile2"), *axes, "v")
     both = left.join(right, list(axes)).where("tile < tile2")
     if with_background:
-        both = both.where("u <> 0")
+        both = both.where("v <> 0")
     pairs = both.groupBy("tile", "tile2", "u", "v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = both.groupBy("tile", "tile2", "u").agg(F.count(F.lit(1)).alias("s"))
-    overlaps = pairs.join(sizes, ["tile", "tile2", "u"]).select("u", "v", (F.col("n") / F.col("s")).alias("fraction"))
-    overlaps = overlaps.where("v <> 0") if with_background else overlaps
+    sizes = both.groupBy("tile", "tile2", "v").agg(F.count(F.lit(1)).alias("s"))
+    overlaps = pairs.join(sizes, ["tile", "tile2", "v"]).select("u", "v", (F.col("n") / F.col("s")).alias("fraction"))
+    overlaps = overlaps.where("u <> 0") if with_background else overlaps
     done = relabel_consecutive(_stitch(raw, overlaps, beta, with_background), start_label=0 if with_background else 1, keep_zeros=with_background)[0]
     return (done, raw) if return_before_stitching else done
 
-
-def tile_faces(shape: Sequence[int], tile_shape: Sequence[int]) -> list[tuple[int, int]]:
-    """(axis, coordinate) of each inner face of a tiling."""
-    return list(itertools.chain.from_iterable([(i, x) for x in range(t, n, t)] for i, (n, t) in enumerate(zip(shape, tile_shape))))
