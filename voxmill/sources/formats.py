@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import gzip
-import importlib.util
 import io
 import json
 import re
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.sources.registry import infer_format, is_writable_format, reader_for_format, register_format
-from voxmill.volume import Volume, as_volume, axis_names, block_id, derive_block_shape, from_numpy, register_source, spark_type
+from voxmill.sources import chunked
+from voxmill.sources.chunked import voxel_rows
+from voxmill.sources.registry import infer_format, is_writable_format, reader_for_format, register_format, writer_for_format
+from voxmill.volume import Volume, as_volume, axis_names, block_id, derive_block_shape, from_numpy, register_source, select_blocks, spark_type
 
 
 def open_volume(spark: SparkSession, path: str, key: str | None = None, format: str | None = None, mode: str = "r", **options) -> Volume:  # noqa: A002
@@ -37,16 +39,19 @@ def save_volume(vol: Volume, path: str, block_shape=None, mode: str = "error") -
     block = derive_block_shape(vol.shape, block_shape or vol.block_shape)
     rows = vol.df.select(*vol.axes, "v", block_id(vol, block).alias("block"))
     rows.repartitionByRange("block").write.mode(mode).partitionBy("block").parquet(path + "/voxels")
-    meta = json.dumps({"shape": vol.shape, "dtype": vol.dtype, "block_shape": block, "fill": vol.fill})
+    meta = json.dumps({"shape": vol.shape, "dtype": vol.dtype, "block_shape": block, "fill": vol.fill, "complete": vol.complete})
     vol.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode(mode).text(path + "/meta")
 
 
 def _read_parquet(spark, path, key=None, block_ids=None, **_):
     meta = json.loads(spark.read.text(path + "/meta").first()["value"])
     df = spark.read.parquet(path + "/voxels")
-    if block_ids is not None:
-        df = df.where(F.col("block").isin([int(b) for b in block_ids]))
-    return Volume(df.drop("block"), tuple(meta["shape"]), meta["dtype"], tuple(meta["block_shape"]), meta["fill"])
+    vol = Volume(df.drop("block"), tuple(meta["shape"]), meta["dtype"], tuple(meta["block_shape"]), meta["fill"], meta.get("complete", False))
+    if block_ids is None:
+        return vol
+    if not vol.complete:
+        return select_blocks(vol, block_ids)
+    return replace(vol, df=df.where(F.col("block").isin([int(b) for b in block_ids])).drop("block"))
 
 
 # -- arrays in single files ---------------------------------------------------------------------
@@ -121,13 +126,6 @@ def parse_tiff(data: bytes) -> np.ndarray:
     return a.astype(a.dtype.newbyteorder("="))
 
 
-def _voxels(array: np.ndarray, offset=None) -> pd.DataFrame:
-    axes = axis_names(array.ndim)
-    kind = {"smallint": "int16", "int": "int32", "bigint": "int64", "tinyint": "int8"}.get(spark_type(array.dtype), array.dtype)
-    coords = np.indices(array.shape, dtype=np.int64)
-    return pd.DataFrame({**{a: c.ravel() + o for a, c, o in zip(axes, coords, offset or [0] * array.ndim)}, "v": array.ravel().astype(kind)})
-
-
 def _probe(files: DataFrame, parse) -> tuple[tuple[int, ...], str]:
     """Shape and dtype of the first file, found on an executor."""
 
@@ -156,10 +154,10 @@ def _single(parse, default_key=None):
                     a = parse(data)
                     step = max(1, 1_000_000 // max(1, int(np.prod(a.shape[1:]))))
                     for i in range(0, a.shape[0], step):
-                        yield _voxels(a[i : i + step], [i] + [0] * (a.ndim - 1))
+                        yield voxel_rows(a[i : i + step], [i] + [0] * (a.ndim - 1))
 
         schema = ", ".join(f"{x} bigint" for x in axis_names(len(shape))) + f", v {spark_type(dtype)}"
-        return Volume(files.select("content").mapInPandas(run, schema), shape, dtype, tuple(block_shape) if block_shape else None)
+        return Volume(files.select("content").mapInPandas(run, schema), shape, dtype, tuple(block_shape) if block_shape else None, complete=True)
 
     return read
 
@@ -177,11 +175,11 @@ def _read_stack(spark, path, key=None, parse=parse_tiff, **_):
                 a = parse(data)
                 if a.shape != plane:
                     raise ValueError(f"{name}: shape {a.shape} is not {plane}")
-                yield _voxels(a[None], [number[name]] + [0] * a.ndim)
+                yield voxel_rows(a[None], [number[name]] + [0] * a.ndim)
 
     shape = (len(names), *plane)
     schema = ", ".join(f"{x} bigint" for x in axis_names(len(shape))) + f", v {spark_type(dtype)}"
-    return Volume(files.select("path", "content").mapInPandas(run, schema), shape, dtype)
+    return Volume(files.select("path", "content").mapInPandas(run, schema), shape, dtype, complete=True)
 
 
 def _read_knossos(spark, path, key=None, cube: int = 128, **_):
@@ -197,7 +195,7 @@ def _read_knossos(spark, path, key=None, cube: int = 128, **_):
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"]):
                 x, y, z = (int(v) for v in re.search(at, name).groups())
-                yield _voxels(np.frombuffer(data, np.uint8).reshape((cube,) * 3), [z * cube, y * cube, x * cube])
+                yield voxel_rows(np.frombuffer(data, np.uint8).reshape((cube,) * 3), [z * cube, y * cube, x * cube])
 
     return Volume(files.where(F.rlike("path", F.lit(at))).select("path", "content").mapInPandas(run, "z bigint, y bigint, x bigint, v smallint"), shape, "uint8", (cube,) * 3)
 
@@ -210,61 +208,47 @@ def _folder(spark, path, key=None, **how):
         return _read_stack(spark, path, key, **how)
 
 
-def _optional(module: str, opener):
-    def read(spark, path, key=None, **options):
-        if importlib.util.find_spec(module) is None:
-            raise ImportError(f"this format needs the package {module}")
+def _optional(module: str, opener, chunked_by: bool = True):
+    """A reader through a package: tasks read regions, or the driver reads the whole if the format has none."""
+
+    def read(spark, path, key=None, block_shape=None, **options):
+        chunked.needs(module)
+        if chunked_by:
+            return chunked.read_regions(spark, lambda: opener(path, key, **options), block_shape)
         return as_volume(opener(path, key, **options), spark)
 
     return read
 
 
-def _hdf5(path, key, **_):
-    import h5py
-
-    if not key:
-        raise ValueError("a container needs a dataset key")
-    with h5py.File(path, "r") as f:
-        return f[key][...]
-
-
-def _zarr(path, key, **_):
-    import zarr
-
-    return zarr.open(path, mode="r")[key][...] if key else zarr.open(path, mode="r")[...]
-
-
-def _n5(path, key, **_):
-    import z5py
-
-    return z5py.File(path, "r")[key][...]
-
-
 def _msr(path, key, **_):
+    """A stack by its number or name (the first by default), or all stacks of one shape along a first axis for the key '*'."""
     from msr_reader import OBFFile
 
     with OBFFile(path) as f:
-        return f.read_stack(int(key or 0))
+        names = [str(n) for n in getattr(f, "stack_names", range(len(f.shapes)))]
+        if key == "*":
+            return np.stack([f.read_stack(i) for i in range(len(names))])
+        return f.read_stack(names.index(str(key)) if str(key) in names else int(key or 0))
 
 
-def _cloudvolume(path, key, mip: int = 0, fill_missing: bool = False, bounded: bool = True, **_):
-    """XYZC to ZYX; one channel."""
-    from cloudvolume import CloudVolume
+def _writer(module: str, write):
+    def run(vol, path, key=None, **options):
+        chunked.needs(module)
+        write(vol, path, key, **options)
 
-    data = np.asarray(CloudVolume(path, mip=mip, fill_missing=fill_missing, bounded=bounded)[:, :, :])
-    if data.shape[-1] != 1:
-        raise ValueError("only one channel is supported")
-    return data[..., 0].T
+    return run
 
 
-def _webknossos(path, key, organization_id=None, mag: int = 1, **_):
-    import webknossos as wk
+def write_volume(vol: Volume, path: str, key: str | None = None, format: str | None = None, **options) -> None:  # noqa: A002
+    """Write to a path by its extension or a format's name: Parquet, Zarr and N5 task by task, HDF5 by one writer."""
+    writer_for_format(format or infer_format(path))(vol, path, key, **options)
 
-    dataset = wk.Dataset.open_remote(path, organization_id)
-    return np.asarray(dataset.get_layer(key).get_mag(mag).read())[0].T
 
+def _write_parquet(vol, path, key=None, block_shape=None, mode: str = "error"):
+    save_volume(vol, path, block_shape, mode)
 
-register_format("parquet", [".parquet", ".vox"], _read_parquet, writable=True)
+
+register_format("parquet", [".parquet", ".vox"], _read_parquet, writer=_write_parquet)
 register_format("npy", [".npy"], _single(parse_npy))
 register_format("mrc", [".mrc", ".rec"], _single(parse_mrc, "data"))
 register_format("nifti", [".nii", ".nii.gz"], _single(parse_nifti, "data"))
@@ -272,19 +256,25 @@ register_format("tiff", [".tif", ".tiff"], _single(parse_tiff, ""))
 register_format("stack", [], _read_stack)
 register_format("knossos", [], _read_knossos)
 register_format("folder", [""], _folder)
-register_format("hdf5", [".h5", ".hdf", ".hdf5"], _optional("h5py", _hdf5))
-register_format("zarr", [".zarr", ".zr"], _optional("zarr", _zarr))
-register_format("n5", [".n5"], _optional("z5py", _n5))
-register_format("msr", [".msr"], _optional("msr_reader", _msr))
-register_format("cloudvolume", [], _optional("cloudvolume", _cloudvolume))
-register_format("webknossos", [], _optional("webknossos", _webknossos))
+register_format("hdf5", [".h5", ".hdf", ".hdf5"], _optional("h5py", chunked.open_hdf5), writer=_writer("h5py", chunked.write_hdf5))
+register_format("zarr", [".zarr", ".zr"], _optional("zarr", chunked.open_zarr), writer=_writer("zarr", chunked.write_zarr))
+register_format("n5", [".n5"], _optional("z5py", chunked.open_n5), writer=_writer("z5py", chunked.write_n5))
+register_format("msr", [".msr"], _optional("msr_reader", _msr, chunked_by=False))
+register_format("cloudvolume", [], _optional("cloudvolume", lambda path, key, **how: chunked.open_cloudvolume(path, **how)))
+register_format("webknossos", [], _optional("webknossos", chunked.open_webknossos))
 
 
 def _is_module(obj, module: str) -> bool:
     return type(obj).__module__.split(".")[0] == module
 
 
-register_source(lambda o: _is_module(o, "h5py") and hasattr(o, "shape"), lambda spark, o: from_numpy(spark, o[...], o.chunks))
+def _reopened(spark, o):
+    """An open dataset: tasks open its file again."""
+    path, key = o.file.filename, o.name
+    return chunked.read_regions(spark, lambda: chunked.open_hdf5(path, key))
+
+
+register_source(lambda o: _is_module(o, "h5py") and hasattr(o, "shape"), _reopened)
 register_source(lambda o: _is_module(o, "cloudvolume"), lambda spark, o: from_numpy(spark, np.asarray(o[:, :, :])[..., 0].T))
 
 

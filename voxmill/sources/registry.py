@@ -7,16 +7,16 @@ from collections.abc import Callable, Sequence
 
 _READERS: dict[str, Callable] = {}
 _EXTENSIONS: dict[str, str] = {}
-_WRITABLE: set[str] = set()
+_WRITERS: dict[str, Callable] = {}
 
 
-def register_format(name: str, extensions: Sequence[str], reader: Callable, writable: bool = False) -> None:
-    """``reader(spark, path, key, **options)`` returns a Volume."""
+def register_format(name: str, extensions: Sequence[str], reader: Callable, writer: Callable | None = None) -> None:
+    """``reader(spark, path, key, **options)`` returns a Volume; ``writer(vol, path, key, **options)`` writes one."""
     _READERS[name] = reader
     for e in extensions:
         _EXTENSIONS.setdefault(e.lower(), name)
-    if writable:
-        _WRITABLE.add(name)
+    if writer is not None:
+        _WRITERS[name] = writer
 
 
 def supported_formats() -> list[str]:
@@ -38,7 +38,13 @@ def reader_for_format(name: str) -> Callable:
 
 
 def is_writable_format(name: str) -> bool:
-    return name in _WRITABLE
+    return name in _WRITERS
+
+
+def writer_for_format(name: str) -> Callable:
+    if name not in _WRITERS:
+        raise ValueError(f"format {name!r} cannot be written; these can: {', '.join(sorted(_WRITERS))}")
+    return _WRITERS[name]
 
 
 def infer_extension(path: str) -> str:
