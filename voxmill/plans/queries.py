@@ -248,6 +248,55 @@ query(None, "watershed")(lambda s, d: watershed.watershed(img(s, d), _seeds(s, d
 query(f"{_LAB}, o AS (SELECT y, x, a AS label FROM l WHERE a >= 7), p AS (SELECT DISTINCT CAST(i * 17 AS BIGINT) AS id, CAST((i * 37) % 480 AS BIGINT) AS py, CAST((i * 23) % 64 AS BIGINT) AS px FROM range(200) t(i)), c AS (SELECT id, o.label, (o.y - py) ** 2 + (o.x - px) ** 2 AS d2, o.y * 64 + o.x AS i FROM p JOIN o ON o.y BETWEEN py - 6 AND py + 6 AND o.x BETWEEN px - 6 AND px + 6), w AS (SELECT id, label, d2, row_number() OVER (PARTITION BY id ORDER BY d2, i) AS k FROM c WHERE d2 <= 36) SELECT p.id, coalesce(w.label, 0) AS label, CAST(coalesce(w.d2, -1) AS BIGINT) AS d2 FROM p LEFT JOIN w ON w.id = p.id AND k = 1", "map_points")(
     lambda s, d: distance.map_points_to_objects(grids.labels_a(s, d).with_values(F.when(F.col("v") >= 7, F.col("v")).otherwise(0), "int64"), s.range(200).select((F.col("id") * 17).alias("id"), ((F.col("id") * 37) % 480).alias("y"), ((F.col("id") * 23) % 64).alias("x")), 6).select("id", "label", F.when(F.col("distance") < 1e9, F.rint(F.col("distance").cast("double") * F.col("distance"))).otherwise(-1).cast("bigint").alias("d2"))
 )
+# -- sparse volumes: components, whose background has no rows ----------------------------------------------
+
+_LL = _LAB + _CC.format(more="") + ", z AS (SELECT l.*, CAST(coalesce(k.v, 0) AS BIGINT) AS k FROM l LEFT JOIN (SELECT i, dense_rank() OVER (ORDER BY root) AS v FROM c) k ON k.i = l.y * 64 + l.x)"
+_VIL = _VI.replace(_P, _LL + ", p AS (SELECT k AS label_a, a AS label_b, count(*) AS c FROM z GROUP BY ALL), q AS (SELECT *, CAST(sum(c) OVER (PARTITION BY label_a) AS BIGINT) AS sa, CAST(sum(c) OVER (PARTITION BY label_b) AS BIGINT) AS sb FROM p)")
+
+
+def _objects(s, d) -> Volume:
+    return components.label(img(s, d), 0.15)
+
+
+@query(f"{_VIL} SELECT {s6('vi_split')} AS vi_split, {s6('vi_merge')} AS vi_merge, {s6('adapted_rand_error')} AS adapted_rand_error, {s6('rand_index')} AS rand_index FROM vi, ra")
+def vi_label(s, d):
+    t = contingency.contingency_table(_objects(s, d), grids.labels_a(s, d))
+    return rounded(evaluation._one_row(evaluation.vi_scores(t), evaluation.rand_scores(t)))
+
+
+query(f"{_LL} SELECT {s6('2 * sum(p * q) / (sum(p) + sum(q) + 1e-7)')} AS dice FROM (SELECT CAST(k > 0 AS INT) AS p, CAST(a > 5 AS INT) AS q FROM z)", "dice_label")(lambda s, d: rounded(evaluation.dice_score(_objects(s, d), grids.labels_a(s, d), 0, 5)))
+query(f"{_LL} SELECT y, x, k + a AS v FROM z", "add_label")(lambda s, d: pointwise.add(_objects(s, d), grids.labels_a(s, d), dtype="int64").dense().df)
+query(f"{_LL} SELECT count(*) AS n, min(k)::DOUBLE AS min, max(k)::DOUBLE AS max, {s6('avg(k)')} AS mean, {s6('stddev_pop(k)')} AS std FROM z", "stats_label")(lambda s, d: rounded(stats.summary(_objects(s, d)), "n", "min", "max"))
+query(f"{_LL} SELECT k AS v, count(*) AS count FROM z GROUP BY k", "unique_label")(lambda s, d: stats.unique(_objects(s, d), True))
+query(f"{_LL} SELECT y, x, CASE WHEN k = 0 THEN 0 ELSE k + 4 END AS v FROM z", "relabel_label")(lambda s, d: relabel.relabel_consecutive(_objects(s, d), 4)[0].dense().df)
+query(f"{_LL} SELECT y, x, k * 10 + b AS v FROM z", "multi_transformation_label")(lambda s, d: views.transform_many(lambda k, b: k * 10 + b, _objects(s, d), grids.labels_b(s, d), dtype="int64").df)
+
+
+def _turn(a: str, b: str, angle: float) -> str:
+    """Rows of the matrix that turns axis ``a`` to axis ``b``, as SQL values (row, column, value)."""
+    rest = ({"0", "1", "2"} - {a, b}).pop()
+    return f"({a}, {a}, cos(radians({angle}))), ({a}, {b}, -sin(radians({angle}))), ({b}, {a}, sin(radians({angle}))), ({b}, {b}, cos(radians({angle}))), ({rest}, {rest}, 1.0)"
+
+
+_ROT = (
+    "WITH g AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_suppkey AS y, CAST(CAST(l_quantity AS INT) - 1 AS BIGINT) AS x, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), "
+    f"r0 AS (SELECT * FROM (VALUES {_turn('1', '2', 3.0)}) t(i, j, m)), r1 AS (SELECT * FROM (VALUES {_turn('2', '0', -2.0)}) t(i, j, m)), r2 AS (SELECT * FROM (VALUES {_turn('0', '1', 4.0)}) t(i, j, m)), "
+    "m AS (SELECT r2.i, r0.j, sum(r2.m * r1.m * r0.m) * (r0.j + 1) / 2 AS m FROM r2 JOIN r1 ON r2.j = r1.i JOIN r0 ON r1.j = r0.i GROUP BY ALL), "
+    "n AS (SELECT max(y) AS h FROM g), o AS (SELECT a.i AS z, b.j AS y, c.k AS x FROM range(7) a(i), (SELECT unnest(range(h + 1)) AS j FROM n) b, range(50) c(k)), "
+    "p AS (SELECT o.*, " + ", ".join(f"(SELECT max(CASE WHEN i = {i} AND j = 0 THEN m END) FROM m) * o.z + (SELECT max(CASE WHEN i = {i} AND j = 1 THEN m END) FROM m) * o.y + (SELECT max(CASE WHEN i = {i} AND j = 2 THEN m END) FROM m) * o.x + {t} AS c{i}" for i, t in enumerate((0.25, 1.5, 0.75))) + " FROM o), "
+    "t AS (SELECT p.*, greatest(least(floor(c0), 5), 0)::BIGINT + d0 AS z0, greatest(least(floor(c1), h - 1), 0)::BIGINT + d1 AS y0, greatest(least(floor(c2), 48), 0)::BIGINT + d2 AS x0, c0 BETWEEN -1e-9 AND 6 + 1e-9 AND c1 BETWEEN -1e-9 AND h + 1e-9 AND c2 BETWEEN -1e-9 AND 49 + 1e-9 AS inside FROM p, n, range(2) a(d0), range(2) b(d1), range(2) c(d2)), "
+    "w AS (SELECT t.z, t.y, t.x, inside, coalesce(g.v, 0) * greatest(1 - abs(c0 - z0), 0) * greatest(1 - abs(c1 - y0), 0) * greatest(1 - abs(c2 - x0), 0) AS s FROM t LEFT JOIN g ON g.z = z0 AND g.y = y0 AND g.x = x0) "
+    f"SELECT z, y, x, {s6('CASE WHEN bool_or(inside) THEN sum(s) ELSE 0 END')} AS v FROM w GROUP BY z, y, x"
+)
+
+
+@query(_ROT)
+def affine_rotation_linear_3d(s, d):
+    g = grids.volume3d(s, d)
+    g = g.with_values(F.col("v"), "float64")
+    return rounded(resample.affine(g, g.shape, scale=[0.5, 1.0, 1.5], rotation=[3.0, -2.0, 4.0], translation=[0.25, 1.5, 0.75], order=1).df, "z", "y", "x")
+
+
 query(None, "centroid_matching")(lambda s, d: rounded(evaluation.centroid_matching(components.label(img(s, d), 0.15), components.label(img(s, d), 0.14), 2.0)))
 
 # -- graphs -------------------------------------------------------------------------------------------
