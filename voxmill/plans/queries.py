@@ -281,7 +281,7 @@ def _turn(a: str, b: str, angle: float) -> str:
 _ROT = (
     "WITH g AS (SELECT CAST(l_linenumber - 1 AS BIGINT) AS z, l_suppkey AS y, CAST(CAST(l_quantity AS INT) - 1 AS BIGINT) AS x, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), "
     f"r0 AS (SELECT * FROM (VALUES {_turn('1', '2', 3.0)}) t(i, j, m)), r1 AS (SELECT * FROM (VALUES {_turn('2', '0', -2.0)}) t(i, j, m)), r2 AS (SELECT * FROM (VALUES {_turn('0', '1', 4.0)}) t(i, j, m)), "
-    "m AS (SELECT r2.i, r0.j, sum(r2.m * r1.m * r0.m) * (r0.j + 1) / 2 AS m FROM r2 JOIN r1 ON r2.j = r1.i JOIN r0 ON r1.j = r0.i GROUP BY ALL), "
+    "m AS (SELECT i, j, m * (j + 1) / 2 AS m FROM (SELECT r2.i, r0.j, sum(r2.m * r1.m * r0.m) AS m FROM r2 JOIN r1 ON r2.j = r1.i JOIN r0 ON r1.j = r0.i GROUP BY r2.i, r0.j)), "
     "n AS (SELECT max(y) AS h FROM g), o AS (SELECT a.i AS z, b.j AS y, c.k AS x FROM range(7) a(i), (SELECT unnest(range(h + 1)) AS j FROM n) b, range(50) c(k)), "
     "p AS (SELECT o.*, " + ", ".join(f"(SELECT max(CASE WHEN i = {i} AND j = 0 THEN m END) FROM m) * o.z + (SELECT max(CASE WHEN i = {i} AND j = 1 THEN m END) FROM m) * o.y + (SELECT max(CASE WHEN i = {i} AND j = 2 THEN m END) FROM m) * o.x + {t} AS c{i}" for i, t in enumerate((0.25, 1.5, 0.75))) + " FROM o), "
     "t AS (SELECT p.*, greatest(least(floor(c0), 5), 0)::BIGINT + d0 AS z0, greatest(least(floor(c1), h - 1), 0)::BIGINT + d1 AS y0, greatest(least(floor(c2), 48), 0)::BIGINT + d2 AS x0, c0 BETWEEN -1e-9 AND 6 + 1e-9 AND c1 BETWEEN -1e-9 AND h + 1e-9 AND c2 BETWEEN -1e-9 AND 49 + 1e-9 AS inside FROM p, n, range(2) a(d0), range(2) b(d1), range(2) c(d2)), "
