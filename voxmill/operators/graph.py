@@ -239,43 +239,38 @@ def _numbered(label: dict) -> list[tuple]:
     return [(n, least[label[n]]) for n in sorted(label)]
 
 
-def _solve_whole(edges: DataFrame, solver) -> DataFrame:
-    """All edges in one group: for graphs that fit one task."""
+def _solve_parts(edges: DataFrame, solver) -> DataFrame:
+    """(node, cluster): components of attractive edges are found in Spark and solved apart, in parallel.
+
+    Clusters of two such components are only joined by edges of no positive cost, so neither
+    an optimal cut nor a solver that joins clusters for gain ever unites them.
+    """
+    flat = materialize(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.col("cost").cast("double").alias("cost")), "multicut")
+    roots = materialize(connected_components(flat.where("cost > 0").select("u", "v")), "multicut_roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+    inner = flat.join(of("u"), "u").join(of("v"), "v").where("r_u = r_v").select(F.col("r_u").alias("root"), "u", "v", "cost")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "v"])
         return pd.DataFrame(_numbered(solver(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["cost"].tolist())))), columns=["node", "cluster"], dtype="int64")
 
-    return edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.col("cost").cast("double").alias("cost")).withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "node bigint, cluster bigint")
+    solved = inner.groupBy("root").applyInPandas(run, "node bigint, cluster bigint")
+    nodes = flat.select(F.col("u").alias("node")).union(flat.select("v")).distinct()
+    return nodes.join(solved, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def multicut_gaec(edges: DataFrame) -> DataFrame:
     """(node, cluster) by greedy additive edge contraction; a cluster is named after its least node."""
-    return _solve_whole(edges, greedy_additive)
+    return _solve_parts(edges, greedy_additive)
 
 
 def multicut_kernighan_lin(edges: DataFrame, warmstart: bool = True) -> DataFrame:
     """(node, cluster) by Kernighan-Lin moves and unions, from the greedy solution or from single nodes."""
-    return _solve_whole(edges, kernighan_lin if warmstart else lambda e: kernighan_lin(e, {n: n for u, v, _ in e for n in (u, v)}))
+    return _solve_parts(edges, kernighan_lin if warmstart else lambda e: kernighan_lin(e, {n: n for u, v, _ in e for n in (u, v)}))
 
 
 def multicut_decomposition(edges: DataFrame, internal_solver: str = "kernighan-lin") -> DataFrame:
-    """(node, cluster): components of attractive edges are found in Spark and solved apart, in parallel.
-
-    No optimal cut joins two such components, so the split costs nothing.
-    """
+    """(node, cluster) by a solver of choice on each component of attractive edges."""
     if internal_solver not in SOLVERS:
         raise ValueError(f"unknown solver {internal_solver!r}")
-    solver = SOLVERS[internal_solver]
-    flat = materialize(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.col("cost").cast("double").alias("cost")), "multicut")
-    roots = materialize(connected_components(flat.where("cost > 0").select("u", "v")), "multicut_roots")
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
-    inner = flat.join(of("u"), "u").join(of("v"), "v").where("r_u = r_v").select(F.col("r_u").alias("root"), "u", "v", "cost")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "v"])
-        return pd.DataFrame(_numbered(solver(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["cost"].tolist())))), columns=["node", "cluster"], dtype="int64")
-
-    solved = inner.groupBy("root").applyInPandas(run, "node bigint, cluster bigint")
-    nodes = flat.select(F.col("u").alias("node")).union(flat.select("v")).distinct()
-    return nodes.join(solved, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+    return _solve_parts(edges, SOLVERS[internal_solver])
