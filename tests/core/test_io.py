@@ -125,6 +125,28 @@ def test_ledger_resumes(spark, tmp_path):
     assert map_items(spark, work, 9, "square long", [2]).collect()[0]["square"] == 4
 
 
+def test_blocks_resume(spark, array, tmp_path):
+    flag = tmp_path / "fixed"
+
+    def blur(block, number):
+        if number == 1 and not flag.exists():
+            raise RuntimeError("no")
+        wide = np.pad(block.astype(int), 1, mode="edge")
+        return wide[:-2, 1:-1, 1:-1] + wide[2:, 1:-1, 1:-1]
+
+    wide = np.pad(array.astype(int), 1, mode="edge")
+    want = wide[:-2, 1:-1, 1:-1] + wide[2:, 1:-1, 1:-1]
+    led = BlockLedger(spark, str(tmp_path / "blocks"))
+    how = {"block_shape": (2, 5, 4), "halo": 1, "dtype": "int32"}
+    with pytest.raises(BlockExecutionError) as e:
+        led.run_blocks(from_numpy(spark, array), blur, **how)
+    assert e.value.failed_block_ids == [1] and led.done().where("item = 1").count() == 0
+    before = led.results().count()
+    flag.touch()
+    assert before < array.size and (led.run_blocks(from_numpy(spark, array), blur, **how).to_numpy() == want).all()
+    assert led.results().count() == array.size and (led.run_blocks(from_numpy(spark, array), blur, **how).to_numpy() == want).all()
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, 2.0), (2, 4.0)], "x long, v double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("x long, v double").parquet(str(tmp_path / "in"))
