@@ -200,6 +200,32 @@ def test_morphology_and_regionprops(spark, rng):
         morphology.morphology(from_numpy(spark, np.ones((3, 3))))
 
 
+def test_regionprops_of_some_rows_and_to_a_file(spark, tmp_path):
+    from voxmill.sources import read_table
+
+    vol = from_numpy(spark, np.array([[1, 1, 0], [0, 4, 4], [7, 0, 9]]))
+    assert [r["label"] for r in morphology.regionprops(vol, item_ids=[1, 3]).collect()] == [4, 9]
+    out = morphology.regionprops(vol, output_path=str(tmp_path / "p.csv"))
+    assert [r["label"] for r in out.collect()] == [1, 4, 7, 9]
+    assert sorted((r["label"], r["n_voxels"]) for r in read_table(spark, str(tmp_path / "p.csv")).collect()) == [(1, 2), (4, 2), (7, 1), (9, 1)]
+
+
+def test_channels_of_a_view(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from voxmill.operators import views
+
+    a = np.arange(24).reshape(3, 2, 4) % 5
+    dense = from_numpy(spark, a)
+    for vol in (dense, replace(dense, df=dense.df.where("v <> 2"), fill=2, complete=False)):
+        out = views.transform(vol, lambda c: c[0] * 10 + c[2] - c[1] + 1, with_channels=True)
+        assert out.shape == (2, 4) and (out.to_numpy() == a[0] * 10 + a[2] - a[1] + 1).all()
+    with pytest.raises(ValueError):
+        views.transform(dense, lambda c: F.lit(1), halo=1, with_channels=True)
+
+
 def test_centroid_of_a_hollow_object_moves_inside(spark):
     a = np.zeros((6, 24, 24), int)
     a[:, 2:22, 2:8] = a[:, 2:6, 2:22] = a[:, 18:22, 2:22] = 7

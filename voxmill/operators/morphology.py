@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.plans.durable import materialize, with_prefix
 from voxmill.volume import Volume, masked
 
 D = "double"
@@ -123,9 +125,12 @@ def _deepest(axes: tuple[str, ...], spacing: list[float]):
     return run
 
 
-def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, compute_surface: bool = False) -> DataFrame:
+def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, compute_surface: bool = False, item_ids: Sequence[int] | None = None, output_path: str | None = None) -> DataFrame:
     """Features of each row of ``table`` (the volume's ``morphology`` by default), in its labels' order.
 
+    ``item_ids`` picks rows of the table by their place in that order. With ``output_path`` (.csv or
+    .xlsx) the features are written there, too.
+
     n_voxels, area, extent, equivalent_diameter_area, axis lengths, centroid_*, bb_*, and
     surface_area (3D) if asked for. A centroid is the center of mass if the voxel nearest to
     it belongs to the object, else the object's deepest voxel. Moments are aggregates; Python
@@ -140,6 +145,8 @@ def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, co
     if missing := [c for c in need if c not in table.columns]:
         raise ValueError(f"the table lacks {missing}")
     base = table.select(*need)
+    if item_ids is not None:
+        base = with_prefix(base, ["label"], [], "items").where(F.col("row_index").isin([int(i) for i in item_ids])).drop("row_index")
     rows = vol.df.where("v <> 0").select(F.col("v").cast("bigint").alias("label"), *axes)
     moments = rows.groupBy("label").agg(*[F.covar_pop(F.col(axes[i]).cast(D) * step[i], F.col(axes[j]).cast(D) * step[j]).alias(f"_m{i}{j}") for i in range(vol.ndim) for j in range(i, vol.ndim)])
     near = base.select("label", *[F.rint(f"com_{a}").cast("bigint").alias(a) for a in axes])
@@ -159,4 +166,11 @@ def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, co
     if compute_surface:
         out = out.join(surface_area(vol, step), "label", "left")
         cols.append(F.coalesce("surface_area", F.lit(0.0)).alias("surface_area"))
-    return out.select(*cols).orderBy("label")
+    out = out.select(*cols).orderBy("label")
+    if output_path is not None:
+        from voxmill.sources import write_table
+
+        out = materialize(out, "regionprops")
+        write_table(out.orderBy("label"), output_path)
+        out = out.orderBy("label")
+    return out

@@ -16,13 +16,34 @@ from voxmill.operators.stencil import map_blocks
 from voxmill.volume import Volume, axis_names, block_id, constant, crop, derive_block_shape, grid, side_by_side, spark_type
 
 
-def transform(vol: Volume, transformation: Callable, dtype: str | None = None, halo=None, block_shape=None) -> Volume:
-    """``transformation`` of a column, or of array blocks if a ``halo`` (zero will do) is given."""
+def transform(vol: Volume, transformation: Callable, dtype: str | None = None, halo=None, block_shape=None, with_channels: bool = False) -> Volume:
+    """``transformation`` of a column, or of array blocks if a ``halo`` (zero will do) is given.
+
+    ``with_channels`` takes the first axis for channels, which the view lacks: the transformation
+    gets a list of columns, one for each.
+    """
+    if with_channels:
+        if halo is not None:
+            raise ValueError("channels are columns, which have no halo")
+        return _over_channels(vol, transformation, dtype)
     if halo is None:
         return vol.with_values(transformation(F.col("v")), dtype)
     return map_blocks(vol, lambda a, m: transformation(a), block_shape, halo, dtype=dtype or vol.dtype)
 
 
+def _over_channels(vol: Volume, transformation: Callable, dtype: str | None) -> Volume:
+    """One aggregate per voxel brings its channels side by side."""
+    first, rest = vol.axes[0], axis_names(vol.ndim - 1)
+    moved = vol.df.select(F.col(first).alias("_c"), *[F.col(a).alias(b) for a, b in zip(vol.axes[1:], rest)], "v")
+    n, dtype = vol.shape[0], np.dtype(dtype or vol.dtype).name
+    kind = spark_type(dtype)
+    held = [F.max(F.when(F.col("_c") == k, F.struct("v"))).alias(f"_v{k}") for k in range(n)]
+    channels = [F.when(F.col(f"_v{k}").isNull(), vol.blank).otherwise(F.col(f"_v{k}.v")) for k in range(n)]
+    df = moved.groupBy(*rest).agg(*held).select(*rest, transformation(channels).cast(kind).alias("v"))
+    fill = vol.fill if vol.complete else constant(vol.spark, transformation([vol.blank] * n).cast(kind))
+    return replace(vol, df=df, shape=vol.shape[1:], dtype=dtype, block_shape=vol.block_shape[1:] if vol.block_shape else None, fill=fill)
+
+
 def transform_with_coordinates(vol: Volume, transformation: Callable, dtype: str | None = None) -> Volume:
     """``transformation(value, *coordinates)``, all columns."""
     vol = vol.dense()
