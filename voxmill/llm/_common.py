@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmill.plans.durable import connected_components, drop_tables, materialize, table_path, with_prefix, work_root
+from voxmill.plans.durable import connected_components, drop_tables, materialize, scratch, table_path, unused, with_prefix, with_row_key, work_root
 
-__all__ = ["connected_components", "drop_tables", "materialize", "table_path", "text_bytes", "with_prefix", "work_root"]
+__all__ = ["connected_components", "drop_tables", "forget", "materialize", "scratch", "table_path", "text_bytes", "unused", "with_prefix", "with_row_key", "work_root"]
 
 
 def text_bytes(col: str = "text"):
@@ -31,6 +31,13 @@ def worker_cache(key, make):
     return _WORKER[key]
 
 
+def forget() -> None:
+    """Drop what a worker keeps: for operators that need no tables of their own."""
+    if _WORKER:
+        _WORKER.clear()
+        _trim()
+
+
 def _trim() -> None:
     import ctypes
     import gc

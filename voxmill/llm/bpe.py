@@ -22,7 +22,7 @@ from voxmill.llm._common import worker_cache
 class Limits(NamedTuple):
     """Of the pieces that a worker remembers: how many, and how long in bytes."""
 
-    pieces: int = 300_000
+    pieces: int = 150_000
     longest: int = 64
 
 
@@ -40,7 +40,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def slices(texts: pa.Array, most: int = 6_000_000):
+def slices(texts: pa.Array, most: int = 2_000_000):
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64"))
     start = 0

@@ -87,7 +87,7 @@ def _packer(capacity: int, pool: int, end_id: int, path: str | None, vocabulary:
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json", path: str | None = None, linear: float = 1.0, quadratic: float | None = None, limits: Limits = Limits(), slice_bytes: int = 4_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_id: int = 0, vocabulary: str = "byte_bpe_50k.json", path: str | None = None, linear: float = 1.0, quadratic: float | None = None, limits: Limits = Limits(), slice_bytes: int = 2_000_000) -> DataFrame:
     """Cut tokenized documents into pieces and pack these into sequences of ``capacity`` tokens.
 
     Each task encodes its documents, closes a sequence for every full ``capacity`` tokens of
@@ -97,7 +97,8 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, pool: int = 2048, end_
 
     Returns one row per piece: doc_id, start, length, ids (unsigned little-endian 32-bit),
     doc_tokens (with ``end_id`` after the text), sequence_id, offset. A null or empty text is
-    its end id alone. Repeated rows are packed one by one, also with a null doc_id. An empty
+    its end id alone; a very long one fills sequences of its own and is encoded alone. Of equally
+    long rests the first in the task goes first, to the first of equally loaded sequences. Repeated rows are packed one by one, also with a null doc_id. An empty
     table gives an empty result; other columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

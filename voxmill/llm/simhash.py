@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm._common import connected_components, materialize
+from voxmill.llm._common import connected_components, forget, materialize, scratch, with_row_key
 
 #: Five segments of the 64 bits, as (first bit, width). Two fingerprints that differ in up to three
 #: bits agree on two whole segments at least, so the ten pairs of segments find every link.
@@ -36,6 +36,7 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches):
+    forget()
     for b in batches:
         texts = pc.fill_null(b.column(1).cast(pa.binary()), b"")
         prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
@@ -174,39 +175,46 @@ def near_duplicates(docs: DataFrame, tile: int = 4096) -> DataFrame:
 
     Returns doc_id, fp (signed 64-bit), fingerprint (16 lowercase hex digits) and component_id
     (least doc_id of the component). Texts that are null, empty or without words have
-    fingerprint zero and are linked like others. Repeated rows each get a row. Null doc_ids
-    are never a component's id unless it has no other. An empty table gives an empty result;
-    other columns are ignored.
+    fingerprint zero and are linked like others; a very long one is hashed whole. A bit that
+    exactly half of the shingles set is 0. Repeated rows each get a row. Null doc_ids are
+    never a component's id unless it has no other. An empty table gives an empty result; other
+    columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(narrow.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
-    nodes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_nodes")
-    roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    with scratch(docs.sparkSession):
+        marks = materialize(narrow.mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash", keep=True)
+        nodes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_nodes")
+        roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
+        rooted = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash_roots", keep=True)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(named, "root").select("fp", "component_id")
     return marks.join(of_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicate_representatives(docs: DataFrame, tile: int = 4096) -> DataFrame:
-    """One document of each component of near-duplicates: least doc_id, then first by a row number.
+    """One document of each component of near-duplicates: least doc_id, of those rows any one.
 
-    Columns are those of ``docs``; texts are scanned twice and shuffled once at most.
+    Columns are those of ``docs``, whatever their names. A null doc_id only stands for a
+    component that has no other. Texts that are null, empty or without words are one component.
+    An empty table gives an empty result. Texts are read twice and shuffled once, in the join
+    with the rows that stay; that list grows with the corpus, so it is never broadcast.
     """
-    kept = materialize(docs.withColumn("_dup_row", F.monotonically_increasing_id()), "simhash_text")
-    # rows stand in for doc_ids, in their order, so that repeated rows are told apart
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("d"), F.col("_dup_row").alias("r"))
-    narrow = kept.select("_dup_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(narrow.mapInArrow(_row_fingerprints, "_dup_row long, doc_id long, fp long"), "simhash")
-    nodes = materialize(marks.groupBy("fp").agg(F.min(order).alias("least")), "simhash_nodes")
-    roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias("_dup_least"))
-    return kept.join(materialize(chosen, "simhash_kept"), F.col("_dup_row") == F.col("_dup_least"), "left_semi").select(*docs.columns)
+    rows, file, row = with_row_key(docs, "simhash_text")
+    with scratch(docs.sparkSession):
+        order = F.struct(F.col("d").isNull().alias("n"), F.col("d").alias("d"), F.col("f").alias("f"), F.col("r").alias("r"))
+        narrow = rows.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
+        marks = materialize(narrow.mapInArrow(_row_fingerprints, "f long, r long, d long, fp long"), "simhash")
+        nodes = materialize(marks.groupBy("fp").agg(F.min(order).alias("least")), "simhash_nodes")
+        roots = connected_components(materialize(link_fingerprints(nodes, tile), "simhash_links"))
+        rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+        chosen = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.f").alias("f"), F.col("least.r").alias("r"))
+        chosen = materialize(chosen, "simhash_kept", keep=True)
+        return rows.join(chosen.hint("merge"), (rows[file] == chosen["f"]) & (rows[row] == chosen["r"]), "left_semi").select(*[rows[c] for c in docs.columns])
 
 
 def _row_fingerprints(batches):
+    forget()
     for b in batches:
-        texts = pc.fill_null(b.column(2).cast(pa.binary()), b"")
+        texts = pc.fill_null(b.column(3).cast(pa.binary()), b"")
         prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["_dup_row", "doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(prints, pa.int64())], names=["f", "r", "d", "fp"])
