@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm._common import materialize, with_prefix
+from voxmill.llm._common import forget, materialize, scratch, unused, with_prefix, with_row_key
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
@@ -23,34 +23,39 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_words(batches):
+    forget()
     for b in batches:
         n = [len(t.split()) for t in pc.fill_null(b.column(0).cast(pa.binary()), b"").to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*b.schema.names[1:], "size"])
 
 
-def fair_targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
-    """Shares of the sum of all sizes by weight; none above ``most`` sizes, the excess shared again."""
-    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        rest, w = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
-        over = [i for i in free if rest * weights[i] / w > most * sizes[i]]
-        for i in over or free:
-            out[i] = most * sizes[i] if over else rest * weights[i] / w
-        if not over:
-            break
-        free -= set(over)
-    return out
+def level(sources: DataFrame, weight, most: float = 3.0) -> float:
+    """x such that the targets ``least(most * size, x * weight)`` add up to the sum of all sizes.
+
+    Sources above ``most`` sizes stop there, and what they leave is shared again by weight
+    until none is above; each pass is one aggregate over ``sources``.
+    """
+    x, stopped = 0.0, -1
+    while True:
+        over = F.lit(x) * weight > most * F.col("size")
+        r = sources.agg(F.sum("size").alias("all"), F.sum(F.when(over, most * F.col("size"))).alias("fixed"), F.sum(F.when(~over, weight)).alias("free"), F.count(F.when(over, 1)).alias("n")).first()
+        if not r["free"] or r["n"] == stopped:
+            return x
+        x, stopped = (r["all"] - (r["fixed"] or 0.0)) / r["free"], r["n"]
+
 
+def shard_sizes(total: int, shards: int) -> np.ndarray:
+    return np.diff(np.linspace(0, total, shards + 1).round().astype(np.int64))
 
-def draw_counts(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Multinomial source counts for each output shard (rows); columns sum to the quotas.
+
+def draw_counts(quotas, sizes, seed: int) -> np.ndarray:
+    """Multinomial counts of each source for output shards (rows) of ``sizes``; columns sum to the quotas.
 
     Shard by shard the chances are what remains of each quota, so the draws correct
     themselves; what a draw takes beyond a quota goes to the sources with most left.
     """
     left = np.array(quotas, dtype=np.int64)
-    sizes = np.diff(np.linspace(0, left.sum(), shards + 1).round().astype(np.int64))
-    rng, out = np.random.default_rng(seed), np.zeros((shards, len(left)), np.int64)
+    rng, out = np.random.default_rng(seed), np.zeros((len(sizes), len(left)), np.int64)
     for k, n in enumerate(sizes):
         if n == 0:
             continue
@@ -108,15 +113,40 @@ def _map_slots(seed: int):
 
 
 class Mixture(NamedTuple):
-    """``sources``: (source, size, target, blocks, quota) in order. ``docs``: rid, doc_id, src, size, pre (words
-    of the source before). ``slots``: out_shard, src, block, epoch."""
+    """``sources``: src, source, size, begin (words of all sources before), target, blocks, quota. ``docs``: rid,
+    doc_id, src, size, pre (words of its source before it). ``slots``: out_shard, src, block, epoch."""
 
-    sources: list[tuple]
+    sources: DataFrame
     docs: DataFrame
     slots: DataFrame
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 64, shards: int = 64, seed: int = 20, max_sources: int = 100_000, row: str | None = None) -> Mixture:
+def _draw_groups(seed: int):
+    """Draws of groups of sources for all shards, whose sizes within the group are given. Rows come sorted by (g, src)."""
+
+    def drawn(rows):
+        _, src, blocks, quota, sizes = zip(*rows)
+        draws = draw_counts(quota, np.array(sizes[0], np.int64), seed + 1 + rows[0][0])
+        first = np.cumsum(draws, axis=0) - draws
+        shard, i = np.nonzero(draws)
+        cols = (shard.astype(np.int32), np.array(src, np.int64)[i], np.array(blocks, np.int64)[i], first[shard, i], draws[shard, i])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["out_shard", "src", "n", "first", "count"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if held and held[0][0] != row[0]:
+                    yield drawn(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield drawn(held)
+
+    return run
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = 64, shards: int = 64, seed: int = 20, group: int = 4096, row: tuple[str, str] | None = None) -> Mixture:
     """Plan a mixture as long as the corpus, by source weights, in blocks of ``block`` words.
 
     The words of a source, document after document by doc_id, form its blocks (the last may be
@@ -124,41 +154,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     block through a pseudorandom permutation of the block indices, another one for each pass.
     Quotas are targets in blocks, rounded, and no block is taken more than ``most`` times.
 
-    Sources are sorted by code point, null last, and weighted in turn; more than
-    ``max_sources`` raise an error, as the plan of the sources is held on the driver. ``row``
-    names a column that identifies rows; else positions do.
+    Sources are sorted by code point, null last, and weighted in turn. Their plan is a table,
+    however many they are: a shard first draws counts for groups of ``group`` sources (on the
+    driver, a row per group), then each group draws those of its sources. ``row`` names two
+    columns that identify rows; else positions do.
     """
     spark = docs.sparkSession
-    keep = [F.col(row).alias("row")] if row else []
+    keep = [F.col(row[0]).alias("row_f"), F.col(row[1]).alias("row_r")] if row else []
     narrow = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("tie"), *keep)
-    counted = materialize(narrow.mapInArrow(_count_words, "doc_id long, source string, tie long" + ", row long" * bool(row) + ", size long"), "mix_docs")
-    found = counted.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in found]
-    targets = fair_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], most)
-    blocks = [-(-n // block) for n in sizes]
-    quotas = [min(int(most * b), round(t * b / n)) if n else 0 for n, t, b in zip(sizes, targets, blocks)]
-    sources = [(r["source"], n, t, b, q) for r, n, t, b, q in zip(found, sizes, targets, blocks, quotas)]
-
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
-    table = spark.createDataFrame([(i, s[0], starts[i]) for i, s in enumerate(sources)], "src int, name string, begin long")
-    # at most max_sources rows
-    placed = counted.join(F.broadcast(table), counted["source"].eqNullSafe(table["name"])).drop("name", "source")
-    ordered = with_prefix(placed, ["src", "doc_id", "tie", "size"] + ["row"] * bool(row), ["size"], "mix_order")
-    of = ordered.select(F.col("row" if row else "row_index").alias("rid"), "doc_id", "src", "size", (F.col("pre_size") - F.col("begin")).alias("pre"))
-
-    draws = draw_counts(quotas, shards, seed)
-    begin = np.cumsum(draws, axis=0) - draws
-    rows = [(k, i, blocks[i], int(begin[k, i]), int(draws[k, i])) for k in range(shards) for i in range(len(sources)) if draws[k, i]]
-    plan = spark.createDataFrame(rows, "out_shard int, src int, n long, first long, count long")
+    with scratch(spark):
+        counted = materialize(narrow.mapInArrow(_count_words, "doc_id long, source string, tie long" + ", row_f long, row_r long" * bool(row) + ", size long"), "mix_docs")
+        found = counted.groupBy("source").agg(F.sum("size").alias("size")).select(F.col("source").isNull().alias("last"), "source", "size")
+        found = materialize(with_prefix(found, ["last", "source"], ["size"], "mix_sources").select(F.col("row_index").alias("src"), "source", "size", F.col("pre_size").alias("begin")), "mix_sources")
+        weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("src", F.lit(len(weights))) + 1).cast("int"))
+        blocks, target = F.ceil(F.col("size") / block), F.least(most * F.col("size"), F.lit(level(found, weight, most)) * weight)
+        sources = found.select("*", target.alias("target"), blocks.cast("long").alias("blocks"))
+        quota = F.when(F.col("size") > 0, F.least(F.floor(most * F.col("blocks")), F.round(F.col("target") * F.col("blocks") / F.col("size")))).otherwise(0)
+        sources = materialize(sources.withColumn("quota", quota.cast("long")), "mix_plan", keep=True)
+
+        placed = counted.join(sources.select("src", F.col("source").alias("name"), "begin"), counted["source"].eqNullSafe(F.col("name"))).drop("name", "source")
+        ordered = with_prefix(placed, ["src", "doc_id", "tie", "size"] + ["row_f", "row_r"] * bool(row), ["size"], "mix_order")
+        rid = F.struct("row_f", "row_r") if row else F.col("row_index")
+        of = materialize(ordered.select(rid.alias("rid"), "doc_id", "src", "size", (F.col("pre_size") - F.col("begin")).alias("pre")), "mix_places", keep=True)
+
+    groups = [(r["g"], r["q"]) for r in sources.groupBy(F.floor(F.col("src") / group).alias("g")).agg(F.sum("quota").alias("q")).orderBy("g").collect()]
+    sizes = draw_counts([q for _, q in groups], shard_sizes(sum(q for _, q in groups), shards), seed) if groups else np.zeros((shards, 0), np.int64)
+    shares = spark.createDataFrame([(g, sizes[:, i].tolist()) for i, (g, _) in enumerate(groups)], "g long, sizes array<long>")
+    # `group` rows at most in each group
+    plan = sources.withColumn("g", F.floor(F.col("src") / group)).join(shares, "g").select("g", "src", "blocks", "quota", "sizes")
+    plan = plan.repartition("g").sortWithinPartitions("g", "src").mapInArrow(_draw_groups(seed), "out_shard int, src long, n long, first long, count long")
     piece = 16_384
     parts = plan.select("out_shard", "src", "n", "first", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(piece).cast("long"))).alias("p"))
     # rows here are few but become blocks: a fixed number of tasks, which AQE leaves alone
     parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "out_shard", "src", "p")
     each = parts.select("out_shard", "src", "n", F.explode(F.sequence(F.col("first") + F.col("p"), F.col("first") + F.least(F.col("p") + piece, F.col("count")) - 1)).alias("j"))
-    slots = each.mapInArrow(_map_slots(seed), "out_shard int, src int, block long, epoch long")
+    slots = each.mapInArrow(_map_slots(seed), "out_shard int, src long, block long, epoch long")
     return Mixture(sources, of, slots)
 
 
@@ -177,34 +207,36 @@ def taken_words(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """Words that the mixture takes from each document, repeats counted.
 
     Returns doc_id, size (words), source_size, target (of its source) and taken. A null text has
-    no words. A null source is a source, the last. Repeated rows are documents of their own. A
-    rerun over the same rows takes the same words. An empty table gives an empty result; other
-    columns are ignored.
+    no words; a very long one lies in many blocks. A null source is a source, the last. Documents
+    of one doc_id come in the order of a hash of their texts; repeated rows are documents of
+    their own. A rerun over the same rows takes the same words. An empty table gives an empty
+    result; other columns are ignored.
     """
     m = mix(docs, block=block, **how)
     sums = taken_blocks(m, block).groupBy("rid", "doc_id", "src", "size").agg(F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken"))
-    table = docs.sparkSession.createDataFrame([(i, s[1], s[2]) for i, s in enumerate(m.sources)], "src int, source_size long, target double")
-    return sums.join(F.broadcast(table), "src").select("doc_id", "size", "source_size", "target", "taken")
+    return sums.join(m.sources.select("src", F.col("size").alias("source_size"), "target"), "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _copies(columns: list[str], text_at: int, chars_at: int | None):
     """Copy c of a document holds, in order, its blocks that were drawn c times or more."""
 
     def run(batches):
-        for b in batches:
-            rows, texts = [], []
-            for k, (t, parts) in enumerate(zip(b.column(text_at).cast(pa.binary()).to_pylist(), b.column(len(columns)).to_pylist())):
-                parts = sorted((p["first"], p["words"], p["times"]) for p in parts or [])
-                begin, end = word_bounds(t or b"")
-                for c in range(1, max((p[2] for p in parts), default=0) + 1):
-                    spans: list[list[int]] = []
-                    for first, words, times in parts:
-                        if times >= c:
-                            if spans and spans[-1][1] == first:
-                                spans[-1][1] = first + words
-                            else:
-                                spans.append([first, first + words])
-                    texts.append(b" ".join(t[begin[i] : end[j - 1]] for i, j in spans).decode())
+        forget()
+        for b in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            rows, texts, lists = [], [], b.column(len(columns))
+            at = lists.offsets.to_numpy()
+            at, (first, words, times) = at - at[0], (c.to_numpy() for c in lists.flatten().flatten())
+            for k in range(b.num_rows):
+                t = b.column(text_at)[k].cast(pa.binary()).as_py()
+                begin, end = word_bounds(t)
+                part = slice(at[k], at[k + 1])
+                order = np.argsort(first[part])
+                low, n, drawn = first[part][order], words[part][order], times[part][order]
+                for c in range(1, int(drawn.max()) + 1):
+                    i, j = low[drawn >= c], (low + n)[drawn >= c]
+                    apart = np.concatenate([[True], i[1:] != j[:-1]])
+                    i, j = i[apart], j[np.append(apart[1:], True)]
+                    texts.append(b" ".join(t[begin[x] : end[y - 1]] for x, y in zip(i, j)).decode())
                     rows.append(k)
             cols = [b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(columns))]
             cols[text_at] = pa.array(texts, pa.string())
@@ -218,12 +250,18 @@ def _copies(columns: list[str], text_at: int, chars_at: int | None):
 def mixed_documents(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """The mixture as documents: each drawn ``times`` over, blocks left out where not drawn.
 
-    Columns are those of ``docs``; text (and n_chars, if there) are those of the copy. White
-    space inside runs of blocks stays as it is. Documents of which nothing is drawn go.
+    Columns are those of ``docs``, whatever their names; text (and n_chars, if there) are those of
+    the copy. White space inside runs of blocks stays as it is. Documents of which nothing is
+    drawn go, and so do null and empty texts, which have no words. A null source is one more
+    source. Repeated rows are documents of their own. An empty table gives an empty result.
+    Texts are read twice and shuffled once, in the join with their blocks.
     """
-    kept = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_text")
-    parts = taken_blocks(mix(kept, block=block, row="_mix_row", **how), block).where("times > 0")
-    lists = parts.groupBy(F.col("rid").alias("_mix_rid")).agg(F.collect_list(F.struct("first", "words", "times")).alias("_mix_parts"))
-    both = kept.join(lists.hint("merge"), F.col("_mix_row") == F.col("_mix_rid")).select(*docs.columns, "_mix_parts")
+    rows, file, row = with_row_key(docs, "mix_text")
+    with scratch(docs.sparkSession):
+        parts = taken_blocks(mix(rows, block=block, row=(file, row), **how), block).where("times > 0")
+        lists = parts.groupBy("rid").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
+        lists = materialize(lists, "mix_parts", keep=True)
+    held = unused(docs.columns, "mix_parts")[0]
+    both = rows.join(lists.hint("merge"), (rows[file] == lists["rid"]["row_f"]) & (rows[row] == lists["rid"]["row_r"])).select(*[rows[c] for c in docs.columns], lists["parts"].alias(held))
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return both.mapInArrow(_copies(docs.columns, docs.columns.index("text"), chars), docs.schema)
