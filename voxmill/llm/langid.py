@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxmill.llm._common import worker_cache
+from voxmill.llm._common import materialize, scratch, unused, worker_cache
 
 #: Bytes as the kernel sees them: ASCII letters in lower case, bytes of other letters as they are, all else a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -73,34 +73,35 @@ def presence(texts: list[bytes], table: list[np.ndarray], spectrum: int) -> np.n
     return p / np.maximum(norm, 1)
 
 
-def fit(texts: list[bytes], labels: list[str], landmarks: int = 256, spectrum: int = 12_000, longest: int = 3, ridge: float = 1e-3) -> Model:
+def code_sets(text: bytes, longest: int = 3) -> np.ndarray:
+    """All n-grams that a text has, in order: length in the top byte, code below."""
+    return np.concatenate([np.unique(c).astype(np.uint32) | np.uint32(n << 24) for n, c in enumerate(grams(text, longest), 1)])
+
+
+def fit(bits: np.ndarray, labels: list[str], spectrum: list[int], landmarks: int = 256, longest: int = 3, ridge: float = 1e-3) -> Model:
     """One-versus-rest kernel ridge regression on Nystrom features of normalized presence kernels.
 
-    The spectrum holds the n-grams that most training texts share. Landmarks are spread over
-    the labels in turn, in the order of the rows.
+    ``bits`` has a row for each training text: which n-grams of ``spectrum`` (sorted, as in
+    ``code_sets``) it has, packed. Landmarks are spread over the labels in turn, in the order of the rows.
     """
-    if spectrum >= 1 << 15:
-        raise ValueError("a spectrum holds fewer than 32768 n-grams")
     names = sorted(set(labels))
-    counts: list[dict] = [{} for _ in range(longest)]
-    for t in texts:
-        for seen, code in zip(counts, grams(t, longest)):
-            for c in np.unique(code).tolist():
-                seen[c] = seen.get(c, 0) + 1
-    ranked = sorted(((-k, n, c) for n, seen in enumerate(counts) for c, k in seen.items()))[:spectrum]
-    codes = [np.array(sorted(c for _, m, c in ranked if m == n), np.int64) for n in range(longest)]
+    codes = [np.array([c & 0xFFFFFF for c in spectrum if c >> 24 == n], np.int64) for n in range(1, longest + 1)]
     table, size = _table(codes)
-    x = presence(texts, table, size).astype(np.float64)
+
+    def kernels(rows):
+        x = np.unpackbits(bits[rows], axis=1, count=size).astype(np.float64)
+        return x / np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
+
     y = np.array([names.index(v) for v in labels], int)
     turn = np.zeros(len(y), int)
     for k in range(len(names)):
         turn[y == k] = np.arange((y == k).sum())
-    chosen = np.lexsort((y, turn))[:landmarks]
-    marks = x[chosen]
+    marks = kernels(np.lexsort((y, turn))[:landmarks])
     value, vector = np.linalg.eigh(marks @ marks.T)
     value, vector = value[value > 1e-6], vector[:, value > 1e-6]
     root = vector / np.sqrt(value)
-    features = np.hstack([x @ marks.T @ root, np.ones((len(x), 1))])
+    features = np.vstack([kernels(slice(i, i + 1024)) @ marks.T @ root for i in range(0, len(y), 1024)])
+    features = np.hstack([features, np.ones((len(y), 1))])
     weight = 1.0 / np.bincount(y, minlength=len(names))[y]  # each language counts alike
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     gram = (features * weight[:, None]).T @ features
@@ -128,8 +129,8 @@ def _held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, per_label: int = 400, most_labels: int = 1000) -> list:
-    """At most ``per_label`` labelled texts of each of the commonest ``most_labels`` labels, by a hash of doc_id.
+def training_rows(docs: DataFrame, per_label: int = 400, most_labels: int = 1000, most_rows: int = 20_000) -> DataFrame | None:
+    """At most ``per_label`` labelled texts of each of the commonest ``most_labels`` labels (``most_rows`` in all), by a hash of doc_id.
 
     Only rows outside the held-out fold count. Ranks within a label are taken over rows whose
     hash is under a bound that about twice ``per_label`` of them pass, never over a whole label.
@@ -137,14 +138,63 @@ def training_rows(docs: DataFrame, per_label: int = 400, most_labels: int = 1000
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).withColumn("_h", F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
     if not sizes:
-        return []
+        return None
+    per_label = min(per_label, max(1, most_rows // len(sizes)))
     bound = F.lit(-1)
     for r in sizes:
         share = min(1.0, (2.0 * per_label + 50) / r["count"])
         bound = F.when(F.col("lang") == r["lang"], min(int(share * 2.0**63), 2**63 - 1)).otherwise(bound)
     near = rows.where(F.col("_h") <= bound)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id", F.xxhash64("text"))
-    return near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_label).orderBy("lang", "_k").select("lang", "text").collect()
+    return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("lang", "k", "text")
+
+
+def _sets(longest: int):
+    def run(batches):
+        for b in batches:
+            codes = [code_sets(t, longest).tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], names=["lang", "k", "codes"])
+
+    return run
+
+
+def _shared_counts(batches):
+    """How many texts of a batch have each n-gram."""
+    for b in batches:
+        if b.num_rows:
+            code, n = np.unique(np.concatenate([np.frombuffer(c, np.uint32) for c in b.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+
+def _bits(spectrum: list[int]):
+    place = np.array(spectrum, np.uint32)
+
+    def run(batches):
+        for b in batches:
+            rows = [np.packbits(np.isin(place, np.frombuffer(c, np.uint32), assume_unique=True)).tobytes() for c in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["lang", "k", "bits"])
+
+    return run
+
+
+def learn(docs: DataFrame, per_label: int = 400, landmarks: int = 256, spectrum: int = 12_000, longest: int = 3) -> Model | None:
+    """A model from the labelled rows outside the held-out fold (see ``training_rows``), or None without any.
+
+    The spectrum holds the n-grams that most training texts share. No text leaves its task: the
+    driver gets ``spectrum`` codes and as many bits for each training text.
+    """
+    if spectrum >= 1 << 15:
+        raise ValueError("a spectrum holds fewer than 32768 n-grams")
+    rows = training_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_label)
+    if rows is None:
+        return None
+    with scratch(docs.sparkSession):
+        sets = materialize(rows.mapInArrow(_sets(longest), "lang string, k int, codes binary"), "language")
+        counts = sets.select("codes").mapInArrow(_shared_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        best = sorted(r["code"] for r in counts.orderBy(F.desc("n"), "code").limit(spectrum).collect())
+        train = sets.mapInArrow(_bits(best), "lang string, k int, bits binary").orderBy("lang", "k").collect()
+    bits = np.frombuffer(b"".join(r["bits"] for r in train), np.uint8).reshape(len(train), -1)
+    return fit(bits, [r["lang"] for r in train], best, landmarks, longest)
 
 
 def _unpacked(parts) -> Model:
@@ -153,7 +203,7 @@ def _unpacked(parts) -> Model:
     return Model(names, table, size, marks, weights)
 
 
-def _scoring(shared, key: str, at: int):
+def _scoring(shared, key: str, at: int, names: list[str]):
     def run(batches):
         model = worker_cache(("language", key), lambda: _unpacked(shared.value))
         for b in batches:
@@ -163,35 +213,41 @@ def _scoring(shared, key: str, at: int):
                 lang, score = predict(model, texts[i : i + 128].to_pylist())
                 langs += lang
                 scores += score
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "_lang_pred", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, *names])
 
     return run
 
 
-def identify_rows(docs: DataFrame, per_label: int = 400, landmarks: int = 256, spectrum: int = 12_000, longest: int = 3) -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_lang_score``, learned from its own labelled rows.
+def identify_rows(docs: DataFrame, **how) -> tuple[DataFrame, str, str]:
+    """``docs`` with the predicted language and its score, learned from its own labelled rows, and the names of both.
 
-    Training takes at most ``per_label`` rows of a label (see ``training_rows``); labels,
-    source and doc_id are no inputs of a prediction. The broadcast model is bounded by
-    ``landmarks`` and ``spectrum``. Scores are products of batches with the landmarks.
+    Labels, source and doc_id are no inputs of a prediction. The broadcast model is bounded by
+    the landmarks and the spectrum. Scores are products of batches with the landmarks.
     """
-    spark = docs.sparkSession
-    rows = training_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_label)
-    if not rows:
-        return docs.withColumns({"_lang_pred": F.lit("und"), "_lang_score": F.lit(0.0)})
-    model = fit([r["text"].encode() for r in rows], [r["lang"] for r in rows], landmarks, spectrum, longest)
+    spark, names = docs.sparkSession, unused(docs.columns, "lang_pred", "lang_score")
+    model = learn(docs, **how)
+    if model is None:
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)}), *names
     codes = [np.flatnonzero(t >= 0) for t in model.table]
     shared = spark.sparkContext.broadcast((model.labels, codes, model.landmarks, model.weights))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    return docs.mapInArrow(_scoring(shared, uuid.uuid4().hex, docs.columns.index("text")), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(_scoring(shared, uuid.uuid4().hex, docs.columns.index("text"), names), schema), *names
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
     """Predicted language of every whole text: doc_id, held_out, lang_pred, score from 0 to 1.
 
     A text that is null or has no letter is 'und' with score 0, and so are all if there is
-    nothing to learn from. A null doc_id hashes as an empty string. Repeated rows are scored
-    one by one. An empty table gives an empty result; other columns are ignored.
+    nothing to learn from. A very long text is read whole, but counts by which n-grams it has.
+    Of equal class scores the first label in order wins. A null doc_id hashes as an empty
+    string. Repeated rows are scored one by one. An empty table gives an empty result; other
+    columns are ignored.
     """
-    scored = identify_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    scored, pred, score = identify_rows(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
+
+
+def documents_with_language(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text is in a language: not 'und' (see ``identify``)."""
+    scored, pred, _ = identify_rows(docs, **how)
+    return scored.where(F.col(pred) != "und").select(*docs.columns)
