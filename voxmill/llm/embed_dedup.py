@@ -235,10 +235,12 @@ def link_embeddings(table: DataFrame, threshold: float = 0.93, list_size: int =
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vector.alias("x"), finite.alias("ok"))
-    norm = F.sqrt(F.aggregate(F.col("x"), F.lit(0.0), lambda a, v: a + v * v))
-    rows = rows.withColumn("norm", F.when(F.col("ok") & F.col("label").isNotNull(), norm)).withColumn("ok", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
+    # by the largest component first, so that squares of finite numbers neither overflow nor vanish
+    rows = rows.withColumn("most", F.when(F.col("ok") & F.col("label").isNotNull(), F.array_max(F.transform("x", F.abs))))
+    rows = rows.withColumn("x", F.when(F.col("most") > 0, F.transform("x", lambda v: v / F.col("most"))))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
     # vectors of another length are another label
-    rows = rows.select("vec_id", F.when(F.col("ok"), F.concat_ws("|", F.size("x"), "label")).alias("label"), F.when(F.col("ok"), F.transform("x", lambda v: v / F.col("norm"))).alias("x"))
+    rows = rows.select("vec_id", F.when(F.col("norm").isNotNull(), F.concat_ws("|", F.size("x"), "label")).alias("label"), F.transform("x", lambda v: v / F.col("norm")).alias("x"))
     rows = materialize(rows.withColumn("key", F.xxhash64("label", "x")).withColumn("row", F.monotonically_increasing_id()), "embed")
     valid = rows.where("x is not null")
     nodes = valid.groupBy("label", "x").agg(F.min("row").alias("vec"), F.count(F.lit(1)).alias("mult"), F.first("key").alias("key"))
