@@ -86,3 +86,13 @@ def test_every_length_is_searched(spark, sample):
     assert sum(r[1] for r in want) >= 2 * 3 * 89
     got = link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), sample=sample).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_tiny_and_huge_vectors_and_null_ids(spark):
+    from voxmill.llm.embed_dedup import link_embeddings
+
+    rows = [(1, [1e-200, 1e-200], 0), (2, [1e-200, 1e-200], 0), (3, [1e200, 1e200], 0), (4, [1e200, 1.01e200], 0), (5, [5e-324, 0.0], 1), (6, [1e308, 0.0], 1), (7, [0.0, 1e308], 1), (8, [0.0, 0.0], 1), (None, [3.0, 3.0], 0), (None, [2.0, 0.0], 2), (9, [0.0, 3.0], 2)]
+    got = link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (None, 4, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True), (None, 0, None, True), (9, 0, 9, True)]
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(((r[0], r[1], r[2], bool(r[3])) for r in got), key=key) == sorted(want, key=key)

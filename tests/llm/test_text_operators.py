@@ -125,7 +125,7 @@ def test_token_files(spark, docs, rows):
     from voxmill.llm.token_files import token_file_digest
 
     tok = tokenizer("byte_bpe_50k.json")
-    order = sorted(pairs(rows), key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    order = sorted(pairs(rows), key=lambda r: (-1 if r[0] is None else r[0], tie(r[1] or "")))
     want, at = [], 0
     for i, t in order:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -136,7 +136,7 @@ def test_token_files(spark, docs, rows):
 
 
 def test_grammar_round_trip_and_random_access():
-    from voxmill.llm.token_files import compress, decompress
+    from voxmill.llm.token_files import compress, decode_range, decompress, rule_lengths
 
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5000):
@@ -144,11 +144,28 @@ def test_grammar_round_trip_and_random_access():
         offsets = np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 20)]))
         offsets = np.sort(np.concatenate([offsets, offsets[:1]]))  # with an empty document
         s, o, rules = compress(ids, offsets, 100)
-        back, at = decompress(s, o, rules, 100)
+        lengths = rule_lengths(rules, 100)
+        back, at = decompress(s, o, rules, 100, lengths)
         assert (back == ids).all() and (at == offsets).all() and (n < 5000 or len(s) < 0.6 * n)
         for k in range(len(offsets) - 1):
-            one, _ = decompress(s, o, rules, 100, slice(k, k + 1))
-            assert (one == ids[offsets[k] : offsets[k + 1]]).all()
+            doc = ids[offsets[k] : offsets[k + 1]]
+            assert (decompress(s, o, rules, 100, lengths, slice(k, k + 1))[0] == doc).all()
+            for i, j in ((0, len(doc)), (3, 11), (len(doc) - 2, len(doc) + 5), (7, 7), (-4, 1)):
+                assert (decode_range(s[o[k] : o[k + 1]], rules, 100, lengths, i, j) == doc[max(i, 0) : j]).all()
+
+
+def test_single_documents_from_the_files(spark, tmp_path):
+    from voxmill.llm.token_files import read_documents, write_token_files
+
+    tok = tokenizer("byte_bpe_50k.json")
+    texts = [f"text number {i} says the same thing again and again, " * (i % 40 + 1) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "none"), (5, "a second fifth")], "doc_id long, text string")
+    write_token_files(docs, f"{tmp_path}/f", shard_docs=50, segment_tokens=4000)
+    ids = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+    got = {(r["doc_id"], r["n_tokens"], r["ids"]) for r in read_documents(spark, f"{tmp_path}/f", [5, 39, 299, 777]).collect()}
+    assert got == {(i, len(x), bytes(x.tobytes())) for i, x in [(5, ids(texts[5])), (5, ids("a second fifth")), (39, ids(texts[39])), (299, ids(texts[299]))]}
+    (part,) = read_documents(spark, f"{tmp_path}/f", [39], 100, 120).collect()
+    assert part["ids"] == ids(texts[39])[100:120].tobytes()
 
 
 def test_token_files_empty(no_docs):
@@ -182,10 +199,10 @@ def test_encoders_match_the_library_on_odd_texts():
     from voxmill.llm.bpe import ByteBpe, Limits, WordCounter, tokenizer_path
 
     rng = random.Random(3)
-    alphabet = "ab 'é\n.1_9\t²́  !A<|>σΣ"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["foo <|endoftext|> bar", "", "日本語 テスト", "İ ǅ ſ"]
-    array = pa.array([*texts, None])
-    b, w = ByteBpe(tokenizer_path("byte_bpe_50k.json"), Limits(50, 50)), WordCounter(tokenizer_path("word_bpe_49k.json"), {"ab": 1}, Limits(50, 50))
+    alphabet = "ab 'sé\n.1_9\t²́ \u00a0\u2003\u2014 !A<|>σΣЖ×\r\x0b\x1c\u0338=İ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(6000)] + ["foo <|endoftext|> bar", "", "日本語 テスト", "İ ǅ ſ", "İ#", " \n x", "it's 'll'sx  \n\n y ", "\n"]
+    array = pa.array(["cut off", *texts, None])[1:]
+    b, w = ByteBpe(tokenizer_path("byte_bpe_50k.json"), Limits(50, 50)), WordCounter(tokenizer_path("word_bpe_49k.json"), (["ab"], [1]), Limits(50, 8))
     ids, at = b.encode(array)
     assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [e.ids for e in b.tok.encode_batch([*texts, ""], add_special_tokens=False)]
     assert w.count(array).tolist() == [len(e) for e in w.tok.encode_batch([*texts, ""], add_special_tokens=False)]
@@ -284,6 +301,106 @@ def test_identifiers_of_several_words_and_glued_cues(spark):
             assert (spans[i], masked[i]) == (span, text), t
 
 
+def by_hand(texts, rounds=3, confidence=0.8, support=5):
+    """Discovered spans by loops over words, patterns and instances."""
+    import math
+
+    import regex
+
+    ws, spots = r"[\x20\x09-\x0D]+", []
+    cue = regex.compile(r"^[^0-9@:=]*[:=][\"'(\[]*(?!/)")
+    run = regex.compile(r"(?<![\p{L}0-9_@%./+-])\+?+(?:\((?=[0-9]{1,5}\)))?+[0-9]++(?![\p{L}_@%])(?:[ ().-]++[0-9]++(?![\p{L}_@%]))*+")
+    number = lambda v: sum(map(str.isdigit, v))
+
+    def patterns(before, after):
+        norm = lambda w: re.sub("[0-9]", "0", w.lower())
+        words, nxt = [norm(w) for w in re.split(ws, before[-80:].rstrip(" "))], norm(re.split(ws, after[:40].lstrip(" "))[0])
+        one, two = words[-1], words[-2] if len(words) > 1 else ""
+        return f"1 {one}", f"2 {two} {one}", f"3 {one} _ {nxt}"
+
+    for doc, t in enumerate(texts):
+        base = [(int(s), int(e), list(BASE).index(k)) for k, s, e in (x.split(":") for x in base_spans(t)[0].split(",") if x)]
+        found = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if len(m[0]) >= 6 and re.search("[0-9@]", m[0])]
+        for s, v in list(found):
+            w = cue.sub("", v)
+            if w != v and len(w) >= 6 and re.search("[0-9@]", w):
+                found.append((s + len(v) - len(w), w))
+        found += [(m.start(), m[0]) for m in run.finditer(t) if number(m[0]) >= 7]
+        found = [(s, v) for s, v in found if not any(a < s + len(v) and s < b for a, b, _ in base)]
+        found = {(s, re.sub(r"[.,;:!?\"')\]}>]+$", "", v)) for s, v in found}
+        spots += [(doc, s, e, k, t[s:e].lower(), patterns(t[:s], t[e:])) for s, e, k in base]
+        spots += [(doc, s, s + len(v), -1, v.lower(), patterns(t[:s], t[s + len(v) :])) for s, v in found if v]
+    edges = {}
+    for *_, k, v, ps in spots:
+        for p in ps:
+            edges[p, v] = max(k, edges.get((p, v), -1))
+    n = Counter(p for p, _ in edges)
+    seeds = Counter(p for (p, _), k in edges.items() if k >= 0)
+    graph = {(p, v): k for (p, v), k in edges.items() if seeds[p] >= support}
+    fresh = {}
+    for r in range(rounds):
+        total, sure = defaultdict(float), Counter()
+        for (p, v), k in graph.items():
+            for kind, score in [(k, 1.0)] if k >= 0 else [(kind, x) for (w, kind), x in fresh.items() if w == v]:
+                total[p, kind] += score
+                sure[p, kind] += score == 1.0
+        conf = {key: x / (n[key[0]] + 1) for key, x in total.items()}
+        if r + 1 < rounds:
+            miss = defaultdict(float)
+            for (p, v), k in graph.items():
+                for (q, kind), c in conf.items() if k < 0 else ():
+                    if q == p and c >= 0.5:
+                        miss[v, kind] += math.log(1 - min(c, 0.999))
+            fresh = {key: 1 - math.exp(x) for key, x in miss.items() if 1 - math.exp(x) < 1}
+    fits = (
+        lambda v: re.fullmatch(r"[^@]+@[^@]+", v),
+        lambda v: re.fullmatch(r"[0-9a-f]{1,4}([.:][0-9a-f]{0,4}){3,7}", v),
+        lambda v: not re.sub("[0-9 ().+-]", "", v) and 12 <= number(v) <= 19,
+        lambda v: not re.sub("[0-9 ().+-]", "", v) and 7 <= number(v) <= 15,
+    )
+    strong = defaultdict(list)
+    for (p, v), k in graph.items():
+        for (q, kind), c in conf.items() if k < 0 else ():
+            if q == p and c >= confidence and sure[q, kind] >= support and fits[kind](v):
+                strong[v].append((c, -kind, p))
+    out = set()
+    for doc, s, e, k, v, ps in spots:
+        if k < 0 and any(p in ps for _, _, p in strong[v]):
+            out.add((doc, s, e, -max(strong[v])[1]))
+    return out
+
+
+def test_discovery_by_hand(spark):
+    import random
+
+    from voxmill.llm.pii import find_personal_data
+
+    rng, cards = random.Random(8), [c for c in (str(4532015112830000 + i) for i in range(900)) if luhn(c)]
+    cues = ["call", "call me at", "card", "my card:", "server", "from host", "mail", "write to", "number", "order"]
+    texts = []
+    for i in range(500):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            what = rng.choice([f"+1 555 123 {1000 + i}", f"+1 (555) 123-{1000 + i}", cards[i % 60], f"10.0.{i % 250}.{rng.randint(0, 300)}", f"bob{i}@x.org", f"555-123-{1000 + i}", f"4111 1111 1111 {1000 + i}", f"é{i}@localhost", f"tel:555{1000000 + i}", f"card={cards[i % 50]}", f"fe80:0:{i % 9}:1", "(12)", f"item{i:06d},"])
+            parts.append(rng.choice(cues) + " " + what + rng.choice(["", ".", ",", " now", "\nthen", "  thanks"]))
+        texts.append(" and ".join(parts))
+    got = {(r["doc_id"], x["s"], x["e"], x["k"]) for r in find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), confidence=0.3, support=3).collect() for x in r["spans"] if x not in r["base"]}
+    want = by_hand(texts, confidence=0.3, support=3)
+    assert len(want) >= 20 and got == want
+
+
+def test_a_long_text_full_of_identifiers(spark):
+    """A long text full of identifiers, in more than one chunk of each kind."""
+    from voxmill.llm.pii import find_personal_data, masked_documents
+
+    part = "server 10.1.2.3 mail bob@x.org or call +1 (555) 123-4567 about order 4711-0815-99 é now\n"
+    df = spark.createDataFrame([(1, part * 4000), (2, part)], "doc_id long, text string")
+    sizes = {r["doc_id"]: len(r["base"]) for r in find_personal_data(df).select("doc_id", "base").collect()}
+    assert sizes == {1: 12_000, 2: 3}
+    texts = {r["doc_id"]: r["text"] for r in masked_documents(df).collect()}
+    assert texts[1] == texts[2] * 4000 and texts[2].startswith("server [ip] mail [email] or call [phone] about")
+
+
 def test_personal_data_empty(no_docs, docs, rows):
     from voxmill.llm.pii import find_personal_data, masked_documents, span_digest
 
@@ -337,8 +454,27 @@ def test_quality_empty(no_docs):
 # -- mixing -----------------------------------------------------------------------------------
 
 
+def fair_targets(sizes, weights, most=3.0):
+    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        rest, w = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+        over = [i for i in free if rest * weights[i] / w > most * sizes[i]]
+        for i in over or free:
+            out[i] = most * sizes[i] if over else rest * weights[i] / w
+        if not over:
+            break
+        free -= set(over)
+    return out
+
+
+def tie(text):
+    """Spark's xxhash64 of a text."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) * (h >> 63)
+
+
 def test_mixing(docs, rows):
-    from voxmill.llm.mixing import fair_targets, taken_words
+    from voxmill.llm.mixing import taken_words
 
     got = taken_words(docs, shards=8).collect()
     again = taken_words(docs, shards=8).collect()
@@ -358,23 +494,59 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - targets[s]) <= 64 + 0.01 * targets[s]
 
 
-def test_targets_stop_at_three_times_a_source():
-    from voxmill.llm.mixing import fair_targets
+def test_mixture_by_hand(docs, rows):
+    """Draws, slots, blocks and words one by one, with several groups of sources."""
+    from voxmill.llm.mixing import _key, draw_counts, permute, shard_sizes, taken_words
+
+    block, shards, group, seed = 8, 5, 2, 20
+    names = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    of = [sorted((r for r in rows if r[3] == n), key=lambda r: (-1 if r[0] is None else r[0], tie(r[1]), len((r[1] or "").split()))) for n in names]
+    words = [[i for i, r in enumerate(own) for _ in (r[1] or "").split()] for own in of]
+    targets = fair_targets(list(map(len, words)), [(5, 2, 1)[i % 3] for i in range(len(names))])
+    blocks = [-(-len(w) // block) for w in words]
+    quotas = [min(3 * b, int(t * b / len(w) + 0.5)) if w else 0 for w, t, b in zip(words, targets, blocks)]
+    groups = [quotas[i : i + group] for i in range(0, len(quotas), group)]
+    sizes = draw_counts([sum(g) for g in groups], shard_sizes(sum(quotas), shards), seed)
+    want = Counter()
+    for g, own in enumerate(groups):
+        draws = draw_counts(own, sizes[:, g], seed + 1 + g)
+        for i in range(len(own)):
+            src, slot, times = g * group + i, 0, Counter()
+            for k in range(shards):
+                for _ in range(draws[k, i]):
+                    n, one = blocks[src], lambda v: np.array([v])
+                    times[int(permute(one(slot % n), one(n), _key(seed, one(src), one(slot // n)))[0])] += 1
+                    slot += 1
+            assert sum(times.values()) == quotas[src]
+            taken = Counter()
+            for place, doc in enumerate(words[src]):
+                taken[doc] += times[place // block]
+            for doc, r in enumerate(of[src]):
+                want[r[0], len((r[1] or "").split()), len(words[src]), taken[doc]] += 1
+    got = taken_words(docs, block=block, shards=shards, group=group, seed=seed).collect()
+    assert Counter((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got) == want
+
+
+def test_targets_stop_at_three_times_a_source(spark):
+    from pyspark.sql import functions as F
+
+    from voxmill.llm.mixing import level
 
-    assert fair_targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
-    assert fair_targets([], []) == [] and fair_targets([0, 5], [5, 1]) == [0, 5]
     assert fair_targets([1, 1, 98], [5, 2, 1]) == pytest.approx([3, 3, 94])
+    for sizes, weights in (([10, 100, 100], [5, 2, 1]), ([0, 5], [5, 1]), ([1, 1, 98], [5, 2, 1]), ([7], [5]), ([0, 0], [5, 2]), ([3, 1000, 2, 500, 80, 9], [5, 2, 1, 5, 2, 1])):
+        x = level(spark.createDataFrame(list(zip(sizes, map(float, weights))), "size long, w double"), F.col("w"))
+        assert [min(3 * n, x * w) for n, w in zip(sizes, weights)] == pytest.approx(fair_targets(sizes, weights))
 
 
 def test_permutations_are_bijections():
-    from voxmill.llm.mixing import draw_counts, permute
+    from voxmill.llm.mixing import draw_counts, permute, shard_sizes
 
     for n in (1, 2, 3, 7, 64, 1000):
         p = permute(np.arange(n), np.full(n, n), np.full(n, 12345))
         assert sorted(p.tolist()) == list(range(n))
     a, b = (permute(np.arange(1000), np.full(1000, 1000), np.full(1000, k)) for k in (1, 2))
     assert (a != b).mean() > 0.9
-    d = draw_counts([100, 0, 7, 1000], 16, 3)
+    d = draw_counts([100, 0, 7, 1000], shard_sizes(1107, 16), 3)
     assert d.sum(0).tolist() == [100, 0, 7, 1000] and (d >= 0).all() and d.sum(1).max() - d.sum(1).min() <= 1
 
 
@@ -412,6 +584,53 @@ def test_language(docs, rows):
             assert r["lang_pred"] != "und"
 
 
+def test_language_by_hand(docs, rows):
+    """Kernels from sets of n-grams, the Nystrom map and the regression spelled out."""
+    from voxmill.llm.langid import identify
+
+    def ngrams(text):
+        out = bytearray(b" ")
+        for a, b in zip(b" " + text.encode(), text.encode() + b" "):
+            c = b + 32 if a == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97 else b | 32 if chr(b).isalpha() and b < 128 else b if b >= 128 else 32
+            if not (c == 32 and out[-1] == 32):
+                out.append(c)
+        return {bytes(out[i : i + n]) for n in (1, 2, 3) for i in range(len(out) - n + 1)}
+
+    def order(r):
+        h = xxhash.xxh64_intdigest(np.array([r[0]], "<i8").tobytes(), 42) if r[0] is not None else 42
+        return r[2], h & (2**63 - 1), -1 if r[0] is None else r[0], tie(r[1])
+
+    train = sorted((r for r in rows if r[1] is not None and r[2] is not None and crc(str("" if r[0] is None else r[0]).encode()) % 5), key=order)
+    sets, names = [ngrams(r[1]) for r in train], sorted({r[2] for r in train})
+    shared = Counter(g for s in sets for g in s)
+    spectrum = set(sorted(shared, key=lambda g: (-shared[g], len(g), g))[:800])
+    sets = [s & spectrum for s in sets]
+    turn, seen = [], Counter()
+    for i, r in enumerate(train):
+        turn.append((seen[r[2]], r[2], i))
+        seen[r[2]] += 1
+    marks = [sets[i] for _, _, i in sorted(turn)[:40]]
+    kernel = lambda a, b: len(a & b) / max(1, len(a) * len(b)) ** 0.5
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
+    phi = lambda s: np.append(np.array([kernel(s, m) for m in marks]) @ root, 1.0)
+    x, y = np.array([phi(s) for s in sets]), np.array([[1.0 if r[2] == n else -1.0 for n in names] for r in train])
+    w = np.array([1 / seen[r[2]] for r in train])[:, None]
+    beta = np.linalg.solve((x * w).T @ x + 1e-3 * np.eye(x.shape[1]), (x * w).T @ y)
+    want = defaultdict(list)
+    for r in rows:
+        f = phi(ngrams(r[1] or "") & spectrum) @ beta
+        known = any(map(str.isalpha, r[1] or ""))
+        want[r[0]].append((names[int(f.argmax())] if known else "und", (np.exp(4 * (f - f.max())) / np.exp(4 * (f - f.max())).sum()).max() if known else 0.0))
+    got = defaultdict(list)
+    for r in identify(docs, per_label=1000, landmarks=40, spectrum=800).collect():
+        got[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert set(got) == set(want)
+    for i in want:
+        for (a, p), (b, q) in zip(sorted(got[i]), sorted(want[i])):
+            assert a == b and p == pytest.approx(q, abs=2e-3)
+
+
 def test_language_empty_or_unlabelled(no_docs, spark):
     from voxmill.llm.langid import identify
 
@@ -501,7 +720,7 @@ def test_simhash_representatives(docs, no_docs, rows):
 def test_repair_goes_on_until_no_pair_is_frequent():
     import numpy as np
 
-    from voxmill.llm.token_files import compress, decompress
+    from voxmill.llm.token_files import compress, decompress, rule_lengths
 
     ids = np.concatenate([np.tile(np.random.default_rng(1).integers(0, 500, 300), 400), np.arange(100), np.tile(np.arange(7), 500)])
     offsets = np.array([0, 120_000, 120_100, len(ids)])
@@ -510,7 +729,8 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     inside = np.ones(len(symbols) - 1, bool)
     inside[cuts[1:-1] - 1] = False
     assert max(Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist())).values()) < 8
-    got, ends = decompress(symbols, cuts, rules, 500)
+    lengths = rule_lengths(rules, 500)
+    got, ends = decompress(symbols, cuts, rules, 500, lengths)
     assert (got == ids).all() and (ends == offsets).all()
     for i in range(3):
-        assert (decompress(symbols, cuts, rules, 500, slice(i, i + 1))[0] == ids[offsets[i] : offsets[i + 1]]).all()
+        assert (decompress(symbols, cuts, rules, 500, lengths, slice(i, i + 1))[0] == ids[offsets[i] : offsets[i + 1]]).all()

@@ -82,7 +82,8 @@ def apply_quality(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     that Spark may broadcast (by size) or split when skewed.
 
     Returns doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept. A null text has no words and fails. Documents with a null host form a
+    base_failed, kept. A null or empty text has no words and fails; a very long one is counted
+    whole. A rate of exactly ``max_rate`` passes, as do counts on a rule's bound. Documents with a null host form a
     host of their own. Repeated rows are judged one by one. An empty table gives an empty
     result; other columns are ignored.
     """

@@ -131,7 +131,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, knots
 
     Returns doc_id, size (UTF-8 bytes plus ``overhead``), text_crc32, law ('bytes'), shard,
     slot (0.. in each shard) and grown_shard (null). A null text counts as an empty one, and
-    both form one group. A null doc_id sorts first. Repeated rows get a slot each. An empty
+    both form one group. A text longer than a shard's share fills one alone. Groups whose least
+    doc_ids tie are ordered by their digests. A null doc_id sorts first. Repeated rows get a slot each. An empty
     table gives an empty result; surplus shards stay empty. Other columns are ignored.
     """
     spark = docs.sparkSession
