@@ -96,3 +96,47 @@ def test_tiny_and_huge_vectors_and_null_ids(spark):
     want = [(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (None, 4, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True), (None, 0, None, True), (9, 0, 9, True)]
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(((r[0], r[1], r[2], bool(r[3])) for r in got), key=key) == sorted(want, key=key)
+
+
+def moved(spark, since):
+    """Bytes that stages from ``since`` on wrote to shuffles and tables, and the number of the next stage."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+    own = [s for s in (stages.apply(i) for i in range(stages.size())) if s.stageId() >= since]
+    return sum(s.shuffleWriteBytes() + s.outputBytes() + s.diskBytesSpilled() for s in own), max((s.stageId() for s in own), default=since - 1) + 1
+
+
+def test_disk_follows_the_input_where_vectors_have_no_structure(spark, tmp_path):
+    from voxmill.llm.embed_dedup import link_embeddings
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(24_000, 64)).astype(np.float32)
+    label = np.arange(len(x)) % 2
+    x[3000:5500] = x[0] + 0.02 * rng.normal(size=(2500, 64))  # a dense group of each label
+    x[9000:9400:2] = x[8000:8400:2] + 0.3 * rng.normal(size=(200, 64))  # pairs around the threshold
+    x[12_000:12_200] = x[11_000]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").repartition(4).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "embeddings.parquet").glob("*.parquet"))
+    _, before = moved(spark, 0)
+    got = {r[0]: tuple(r[1:]) for r in link_embeddings(spark.read.parquet(path)).collect()}
+    assert moved(spark, before)[0] < 4 * size
+
+    want = {}
+    for k in (0, 1):
+        ids = np.flatnonzero(label == k)
+        u = x[ids].astype(float)
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        near = u @ u.T >= 0.93
+        left = np.ones(len(ids), bool)
+        for i in range(len(ids)):
+            if left[i]:
+                group = near[i]
+                while (more := near[group].any(0)).sum() > group.sum():
+                    group = more
+                left &= ~group
+                want |= {int(j): (int(n) - 1, int(ids[i]), bool(j == ids[i])) for j, n in zip(ids[group], near[group].sum(1))}
+    assert got == want
+    assert sum(n > 0 for n, _, _ in want.values()) > 2700
