@@ -168,7 +168,15 @@ query(f"{_G3} SELECT v AS label, count(*) AS size, {s6('avg(z)')} AS com_z, {_AX
 _E = "sqrt((var_pop(y * 2.0) - var_pop(x)) ** 2 + 4 * covar_pop(y * 2.0, x) ** 2)"
 query(f"{_LAB} SELECT a AS label, count(*) AS n_voxels, {s6('count(*) * 2.0')} AS area, {s6('count(*)::DOUBLE / ((max(y) + 1 - min(y)) * (max(x) + 1 - min(x)))')} AS extent, {s6('sqrt(8.0 * count(*) / pi())')} AS equivalent_diameter_area, {s6(f'4 * sqrt((var_pop(y * 2.0) + var_pop(x) + {_E}) / 2)')} AS axis_major_length FROM l WHERE a <> 0 GROUP BY a", "regionprops_2d")(lambda s, d: rounded(morphology.regionprops(grids.labels_a(s, d), resolution=(2.0, 1.0)).select("label", "n_voxels", "area", "extent", "equivalent_diameter_area", "axis_major_length"), "label", "n_voxels"))
 query(None, "regionprops_3d_surface")(lambda s, d: rounded(morphology.regionprops(grids.volume3d(s, d), resolution=(3.0, 1.0, 1.0), compute_surface=True), "label", "n_voxels"))
-query(f"{_LAB} SELECT y, x, (a * 7 + 3) % 101 AS v FROM l", "relabel_map")(lambda s, d: relabel.relabel(grids.labels_a(s, d), {i: (i * 7 + 3) % 101 for i in range(-16, 33)}).df)
+
+
+def _relabel_map(labels: Volume) -> Volume:
+    """By a table of the ids that occur, whatever they are; Spark's remainder has the sign of the id, as in SQL."""
+    ids = stats.unique(labels).select(F.col("v").alias("old"), ((F.col("v") * 7 + 3) % 101).alias("new"))
+    return relabel.relabel(labels, ids, dtype="int64")
+
+
+query(f"{_LAB} SELECT y, x, (a * 7 + 3) % 101 AS v FROM l", "relabel_map")(lambda s, d: _relabel_map(grids.labels_a(s, d)).df)
 query(f"{_LAB} SELECT y, x, CASE WHEN a = 0 THEN 0 ELSE CAST(dense_rank() OVER (ORDER BY a) AS BIGINT) END AS v FROM l", "relabel_consecutive")(lambda s, d: relabel.relabel_consecutive(grids.labels_a(s, d), 1)[0].df)
 _SF = _LAB + ", z AS (SELECT a, dense_rank() OVER (ORDER BY a) AS r FROM (SELECT a FROM l GROUP BY a HAVING count(*) BETWEEN 100 AND 9000 AND a <> 0))"
 query(f"{_SF} SELECT y, x, CAST(coalesce(r, 0) AS BIGINT) AS v FROM l LEFT JOIN z USING (a)", "size_filter")(lambda s, d: relabel.size_filter(grids.labels_a(s, d), 100, 9000).df)
