@@ -24,3 +24,44 @@ def test_relabel_map_of_ids_below_zero_and_beyond_any_list(spark, tmp_path):
     assert ids.min() < -16 and ids.max() > 32
     got = array(QUERIES["relabel_map"](spark, embeddings(spark, tmp_path, v)), v.shape)
     assert (got == np.fmod(ids * 7 + 3, 101)).all()  # SQL's remainder has the sign of the id
+
+
+
+
+def test_resampling_makes_no_row_per_tap(spark, tmp_path):
+    """Points meet blocks: tasks follow the number of points, and nothing is summed up per point."""
+    from voxmill.operators import resample
+
+    where = embeddings(spark, tmp_path, np.random.default_rng(2).normal(0, 0.2, (40, 64)))
+    for name in ("resize_linear", "affine_linear_whole", "transform_coordinates_whole", "affine_rotation_cubic_whole"):
+        plan = QUERIES[name](spark, where)._jdf.queryExecution().optimizedPlan().toString()
+        assert "sum(" not in plan and "SortAggregate" not in plan, name
+    old = resample.TASK
+    resample.TASK = 500
+    try:
+        assert "RepartitionByExpression [_block#" in (plan := QUERIES["resize_linear"](spark, where)._jdf.queryExecution().optimizedPlan().toString()) and f"], {80 * 128 // 500 + 1}" in plan
+    finally:
+        resample.TASK = old
+
+
+def test_sampling_of_odd_points(spark):
+    """Far more points than voxels, points outside, nulls, NaNs and equal keys; short axes; missing voxels."""
+    from pyspark.sql import functions as F
+
+    from voxmill.operators.resample import resize, sample
+    from voxmill.volume import Volume, from_numpy
+
+    a = np.random.default_rng(4).normal(0, 1, (3, 5))
+    big = resize(from_numpy(spark, a), (60, 100), 1)
+    y, x = np.minimum(np.arange(60) * (3 / 60), 2), np.minimum(np.arange(100) * (5 / 100), 4)
+    rows = np.stack([np.interp(x, np.arange(5), r) for r in a])
+    want = np.stack([np.interp(y, np.arange(3), c) for c in rows.T], 1)
+    assert np.allclose(array(big.df, (60, 100)), want)
+    for order in range(6):
+        v = from_numpy(spark, np.arange(6.0).reshape(1, 6))
+        at = spark.createDataFrame([(0, 0.0, 2.0), (1, 0.0, 5.0), (2, 0.0, 7.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, -3.0, 1.0), (0, 0.0, 3.0)], "id int, p double, q double")
+        got = sorted((r["id"], round(r["v"], 6)) for r in sample(v, at, ["id"], {"y": F.col("p"), "x": F.col("q")}, order, -1).collect())
+        assert got == [(0, 2), (0, 3), (1, 5), (2, -1), (3, -1), (4, -1), (5, -1)], order
+    sparse = Volume(spark.createDataFrame([(2, 1, 7.0)], "y long, x long, v double"), (40, 150), "float64", fill=1)
+    got = array(resize(sparse, (40, 150), 1).df, (40, 150))
+    assert got[2, 1] == 7 and got.sum() == 40 * 150 + 6

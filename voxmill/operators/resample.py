@@ -100,46 +100,114 @@ def _coefficients(vol: Volume, order: int) -> Volume:
     return map_blocks(vol, run, halo=len(w) // 2, dtype="float64")
 
 
-def sample(vol: Volume, at: DataFrame, keys: Sequence[str], where: dict[str, Column], order: int = 0, fill_value: float = 0) -> DataFrame:
+#: Values in a block of voxels that lie in one row, and points or voxels in a task.
+BLOCK, TASK = 4096, 400_000
+
+
+def _mirror(t: Column, n: int) -> Column:
+    """The voxel that lies at index ``t``, beyond the ends 0 and ``n``, too."""
+    if n == 0:
+        return t * 0
+    r = F.pmod(t, F.lit(2 * n))
+    return F.when(r > n, 2 * n - r).otherwise(r)
+
+
+def _images(s: Column, n: int, pad: int) -> Column:
+    """Indices from -pad to n + pad at which voxel ``s`` lies."""
+    if n <= pad:
+        return F.filter(F.sequence(F.lit(-pad).cast("bigint"), F.lit(n + pad).cast("bigint")), lambda t: _mirror(t, n) == s)
+    return F.filter(F.array(s, F.when((s > 0) & (s <= pad), -s), F.when((s < n) & (s >= n - pad), 2 * n - s)), lambda t: t.isNotNull())
+
+
+def sample(vol: Volume, at: DataFrame, keys: Sequence[str], where: dict[str, Column], order: int = 0, fill_value: float = 0, points: int | None = None) -> DataFrame:
     """Values of ``vol`` at real coordinates ``where[axis]`` of each row of ``at``: its ``keys`` and ``v``.
 
     Order 0 takes floor(c + 1/2), order 1 the two voxels around, orders 2 to 5 the spline's
-    support of prefiltered voxels. Coordinates outside the array give ``fill_value``. Every tap is
-    a row that meets its voxel by an equi-join; weights sum up per output row.
+    support of prefiltered voxels. Coordinates outside the array give ``fill_value``. Voxels are
+    packed to blocks, an array with the voxels that follow it as far as taps reach, and each point
+    meets the one block that has all its taps: no row per tap. The number of tasks follows
+    ``points``, about how many there are (as many as voxels by default).
     """
     if not 0 <= order <= 5:
         raise ValueError("orders are 0 to 5")
     axes, last = vol.axes, {a: n - 1 for a, n in zip(vol.axes, vol.shape)}
-    rows = at.select(*keys, *[where[a].cast("double").alias(f"_p_{a}") for a in axes])
     eps = 1e-9
     inside = reduce(lambda p, q: p & q, [(F.col(f"_p_{a}") >= -eps - (0.5 if order == 0 else 0)) & (F.col(f"_p_{a}") <= last[a] + eps + (0.5 - 2 * eps if order == 0 else 0)) for a in axes])
-    held = vol.df.select(*[F.col(a).alias(f"_s_{a}") for a in axes], F.col("v").alias("_v"))
-    names = [f"_s_{a}" for a in axes]
-    if order == 0:
-        asked = rows.withColumns({f"_s_{a}": F.least(F.greatest(F.floor(F.col(f"_p_{a}") + 0.5), F.lit(0).cast("bigint")), F.lit(last[a]).cast("bigint")) for a in axes})
-        both = asked.join(held, names, "left")
-        return both.select(*keys, F.when(inside, F.coalesce("_v", F.lit(vol.fill))).otherwise(F.lit(fill_value)).alias("v"))
-    if order > 1:
-        held = _coefficients(vol, order).df.select(*[F.col(a).alias(f"_s_{a}") for a in axes], F.col("v").alias("_v"))
-    asked = rows.withColumn("_in", inside)
-    weight = F.lit(1.0)
+    held = (_coefficients(vol, order) if order > 1 else vol).df.select(*axes, F.col("v").alias("_v"))
+    kind = dict(held.dtypes)["_v"]
+    span = {a: 1 if order == 0 or (order == 1 and last[a] == 0) else order + 1 for a in axes}
+    # taps of points inside start at -pad at the earliest and end at last + pad
+    pad = order // 2 + 1 if order > 1 else 0
+    side = max(8, round(BLOCK ** (1 / vol.ndim)))
+    width = {a: min(side, last[a] + 2 * pad + 1) for a in axes}
+    blocks = {a: (last[a] + 2 * pad) // width[a] + 1 for a in axes}
+    wide = {a: width[a] + span[a] - 1 for a in axes}
+    points = vol.size if points is None else points
+    # many points per voxel: blocks are laid out several times, so that no block has to meet them all
+    copies = max(1, points // (16 * max(1, vol.size)))
+    tasks = max(vol.spark.sparkContext.defaultParallelism, -(-max(points, vol.size * copies) // TASK))
+
+    place, spot = F.lit(0).cast("bigint"), F.lit(0)
     for a in axes:
+        if pad:
+            held = held.withColumn(a, F.explode(_images(F.col(a), last[a], pad))).withColumn(a, F.col(a) + pad)
+        own = F.floor(F.col(a) / width[a])
+        if span[a] > 1:
+            first = F.greatest(F.floor((F.col(a) - span[a] + 1) / width[a]), F.lit(0).cast("bigint"))
+            held = held.withColumn(f"_b_{a}", F.explode(F.sequence(first, F.least(own, F.lit(blocks[a] - 1).cast("bigint")))))
+        else:
+            held = held.withColumn(f"_b_{a}", own)
+        place = place * blocks[a] + F.col(f"_b_{a}")
+        spot = spot * wide[a] + (F.col(a) - F.col(f"_b_{a}") * width[a]).cast("int")
+    held = held.select(place.alias("_block"), spot.alias("_at"), "_v")
+    meet = ["_block"]
+    if copies > 1:
+        meet, held = ["_block", "_copy"], held.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    blank = F.lit(vol.fill).cast(kind)
+    packed = held.repartition(tasks, *meet).groupBy(*meet).agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_l"))
+    size = math.prod(wide.values())
+    gap = lambda e, i: F.coalesce(F.get("_l", i + 1)["_at"], F.lit(size)) - e["_at"] - 1
+    full = F.transform("_l", lambda e: F.coalesce(e["_v"], blank))
+    spread = F.flatten(F.concat(F.array(F.array_repeat(blank, F.get("_l", F.lit(0))["_at"])), F.transform("_l", lambda e, i: F.concat(F.array(F.coalesce(e["_v"], blank)), F.array_repeat(blank, gap(e, i))))))
+    packed = packed.select(*meet, F.when(F.size("_l") == size, full).otherwise(spread).alias("_vs"))
+
+    rows = at.select(*keys, *[where[a].cast("double").alias(f"_p_{a}") for a in axes])
+
+    def low(a: str) -> Column:
         p = F.col(f"_p_{a}")
+        if order == 0:
+            return F.least(F.greatest(F.floor(p + 0.5), F.lit(0).cast("bigint")), F.lit(last[a]).cast("bigint"))
         if order == 1:
-            low = F.least(F.greatest(F.floor(p), F.lit(0).cast("bigint")), F.lit(max(0, last[a] - 1)).cast("bigint"))
-            taps = F.sequence(low, F.least(low + 1, F.lit(last[a]).cast("bigint")))
-        else:
-            low = F.ceil(p - (order + 1) / 2)
-            taps = F.sequence(low, low + order)
-        asked = asked.withColumn(f"_t_{a}", F.explode(taps))
-        d = p - F.col(f"_t_{a}")
-        weight = weight * (F.greatest(1 - F.abs(d), F.lit(0.0)) if order == 1 else bspline(d, order))
-        t, n = F.col(f"_t_{a}"), last[a]
-        mirrored = F.abs(t) if n == 0 else F.when(F.pmod(t, F.lit(2 * n)) > n, 2 * n - F.pmod(t, F.lit(2 * n))).otherwise(F.pmod(t, F.lit(2 * n)))
-        asked = asked.withColumn(f"_s_{a}", (F.lit(0) if n == 0 else mirrored).cast("bigint"))
-    both = asked.withColumn("_w", weight).join(held, names, "left")
-    total = F.sum(F.col("_w") * F.coalesce(F.col("_v").cast("double"), F.lit(float(vol.fill))))
-    return both.groupBy(*keys).agg(F.when(F.max("_in"), total).otherwise(F.lit(float(fill_value))).alias("v"))
+            return F.least(F.greatest(F.floor(p), F.lit(0).cast("bigint")), F.lit(max(0, last[a] - 1)).cast("bigint"))
+        return F.ceil(p - (order + 1) / 2)
+
+    place, some = F.lit(0).cast("bigint"), F.xxhash64(*keys)
+    for a in axes:
+        place = place * blocks[a] + F.floor((low(a) + pad) / width[a])
+    # points outside need no block and go to any
+    asked = rows.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_block", F.when(F.col("_in"), place).otherwise(F.pmod(some, F.lit(math.prod(blocks.values())))))
+    if copies > 1:
+        asked = asked.withColumn("_copy", F.pmod(some, F.lit(copies)).cast("int"))
+    both = asked.repartition(tasks, *meet).join(packed.hint("merge"), meet, "left")
+    start, weights = F.lit(0), {}
+    for a in axes:
+        start = start * wide[a] + F.pmod(low(a) + pad, F.lit(width[a])).cast("int")
+        for k in range(span[a]):
+            d = F.col(f"_p_{a}") - (low(a) + k)
+            if order:
+                weights[f"_w_{a}_{k}"] = F.greatest(1 - F.abs(d), F.lit(0.0)) if order == 1 else bspline(d, order)
+    both = both.withColumns({"_start": start, **weights})
+    value = lambda i: F.coalesce(F.get("_vs", F.col("_start") + i), blank)
+    if order == 0:
+        return both.select(*keys, F.when(F.col("_in"), value(0)).otherwise(F.lit(fill_value)).alias("v"))
+    total = None
+    for tap in itertools.product(*[range(span[a]) for a in axes]):
+        offset, weight = 0, F.lit(1.0)
+        for a, k in zip(axes, tap):
+            offset, weight = offset * wide[a] + k, weight * F.col(f"_w_{a}_{k}")
+        part = weight * value(offset).cast("double")
+        total = part if total is None else total + part
+    return both.select(*keys, F.when(F.col("_in"), total).otherwise(F.lit(float(fill_value))).alias("v"))
 
 
 def _cast(vol: Volume, df: DataFrame, shape, dtype=None) -> Volume:
@@ -179,7 +247,7 @@ def resize(vol: Volume, shape: Sequence[int], order: int = 0, anti_aliasing: boo
     src = _blurred(_plain(vol), scale) if anti_aliasing and order else _plain(vol)
     # beyond the last voxel its value goes on
     where = {a: F.least(F.col(a) * float(n) / float(m), F.lit(float(n - 1))) for a, n, m in zip(vol.axes, vol.shape, shape)}
-    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape), complete=True)
+    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value, math.prod(shape)), shape), complete=True)
 
 
 def downsample(vol: Volume, scale_factor, order: int = 0, anti_aliasing: bool = False) -> Volume:
@@ -209,7 +277,7 @@ def affine(vol: Volume, shape: Sequence[int], affine_matrix=None, scale=None, ro
             if m[i, j]:
                 c = c + F.lit(float(m[i, j])) * (F.col(b) + begin[j])
         where[a] = c
-    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value), shape), complete=True)
+    return replace(_cast(vol, sample(src, grid(vol.spark, shape), vol.axes, where, order, fill_value, math.prod(shape)), shape), complete=True)
 
 
 def transform_subvolume_affine(vol: Volume, matrix, roi: Sequence[slice], order: int = 0, fill_value: float = 0, sigma=None) -> Volume:
@@ -224,4 +292,4 @@ def transform_subvolume_affine(vol: Volume, matrix, roi: Sequence[slice], order:
 def transform_subvolume_coordinates(vol: Volume, coordinates: DataFrame, shape: Sequence[int], order: int = 1, fill_value: float = 0) -> Volume:
     """Values at explicit coordinates: a table with output axes and ``at_<axis>`` for each."""
     where = {a: F.col(f"at_{a}") for a in vol.axes}
-    return _cast(vol, sample(_plain(vol), coordinates, vol.axes, where, order, fill_value), shape, "float64" if order and np.dtype(vol.dtype).kind != "f" else None)
+    return _cast(vol, sample(_plain(vol), coordinates, vol.axes, where, order, fill_value, math.prod(shape)), shape, "float64" if order and np.dtype(vol.dtype).kind != "f" else None)

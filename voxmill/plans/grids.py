@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from voxmill.volume import Volume
 
 
+#: Vectors in a task; a file may have them all in one row group, which is one task's.
+VECTORS = 16_384
+
+
 def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """y = vec_id, x = position, v = component, label = the vector's label."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    if (tasks := -(-e.count() // VECTORS)) > 1:
+        e = e.select("vec_id", "embedding", "label").repartition(tasks, "vec_id")
     return e.select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"), "label").select("y", F.col("x").cast("bigint").alias("x"), F.col("v").cast("double").alias("v"), "label")
 
 

@@ -155,7 +155,8 @@ def grid(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
     for a, s in reversed(list(zip(axes, shape))):
         cols.append((rest % max(s, 1)).cast("bigint").alias(a))
         rest = F.floor(rest / max(s, 1))
-    return spark.range(n).select(*reversed(cols))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // 1_000_000))
+    return spark.range(0, n, 1, tasks).select(*reversed(cols))
 
 
 def from_numpy(spark: SparkSession, array, block_shape=None) -> Volume:
