@@ -65,3 +65,26 @@ def test_sampling_of_odd_points(spark):
     sparse = Volume(spark.createDataFrame([(2, 1, 7.0)], "y long, x long, v double"), (40, 150), "float64", fill=1)
     got = array(resize(sparse, (40, 150), 1).df, (40, 150))
     assert got[2, 1] == 7 and got.sum() == 40 * 150 + 6
+
+
+def test_deepest_voxels_line_by_line(spark, monkeypatch):
+    """Objects that reach through the whole volume are never in one task; results are those of a whole distance transform."""
+    from voxmill.operators import morphology
+    from voxmill.operators.distance import edt
+    from voxmill.volume import from_numpy
+
+    monkeypatch.setattr(morphology, "LINES", 60)
+    rng = np.random.default_rng(5)
+    for shape, step in (((9, 14, 11), (3.0, 1.0, 1.5)), ((40, 23), (1.0, 2.0))):
+        a = np.kron(rng.integers(0, 4, [-(-n // 3) for n in shape]), np.ones([3] * len(shape), int))[tuple(slice(n) for n in shape)]
+        a[rng.random(shape) < 0.05] = 9
+        vol = from_numpy(spark, a)
+        rows = vol.df.where("v <> 0").withColumnRenamed("v", "label")
+        got = {r[0]: tuple(r)[1:] for r in morphology.deepest(vol, rows, step).collect()}
+        for k in np.unique(a[a > 0]):
+            depth = edt(np.pad(a == k, 1), step)[0]
+            assert got.pop(int(k)) == tuple(int(i) - 1 for i in np.unravel_index(depth.argmax(), depth.shape))
+        assert not got
+    pdf = rows.toPandas().assign(d=np.inf)
+    whole = morphology._line_pass(vol.axes, 0, 1.0)(pdf)
+    assert len(whole) == len(pdf) and whole["d"].max() < np.inf

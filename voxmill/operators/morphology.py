@@ -110,21 +110,64 @@ def surface_area(vol: Volume, resolution) -> DataFrame:
     return cubes.where("code <> 255").groupBy("label").agg(F.sum(F.element_at(areas, F.col("code") + 1)).alias("surface_area"))
 
 
-def _deepest(axes: tuple[str, ...], spacing: list[float]):
-    """The voxel of an object that is farthest from outside, first in C order."""
-    from voxmill.operators.distance import edt
+#: Voxels of the box that a task's group of lines fills.
+LINES = 262_144
+
+
+def _line_pass(axes: tuple[str, ...], axis: int, step: float):
+    """Squared distances to outside of the own object within the axes up to ``axis``, given those before; after the last axis only each object's deepest voxel.
+
+    Along a line only the run of the object's voxels around a voxel counts: what ends it is outside, and nothing beyond is nearer.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[list(axes)].to_numpy(np.int64)
-        low = at.min(0)
-        box = np.zeros(at.max(0) - low + 3, bool)
-        box[tuple((at - low + 1).T)] = True
-        best = np.unravel_index(int(edt(box, spacing)[0].argmax()), box.shape)
-        return pd.DataFrame([[pdf["label"].iloc[0], *(np.array(best) - 1 + low)]], columns=["label", *[f"deep_{a}" for a in axes]])
+        rest = [a for i, a in enumerate(axes) if i != axis]
+        pdf = pdf.sort_values([*rest, axes[axis]], ignore_index=True)
+        n = len(pdf)
+        fresh = np.ones(n, bool)
+        fresh[1:] = np.diff(pdf[axes[axis]].to_numpy()) != 1
+        for c in ("label", *rest):
+            fresh[1:] |= np.diff(pdf[c].to_numpy()) != 0
+        part, begin = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        end = np.append(begin[1:], n)
+        i = np.arange(n)
+        d = pdf["d"].to_numpy(float)
+        best = np.minimum(d, (np.minimum(i - begin[part] + 1, end[part] - i) * step) ** 2)
+        for k in range(1, n if axis else 0):  # before the first axis nothing is known
+            cost = (k * step) ** 2
+            if cost >= best.max():
+                break
+            same = part[k:] == part[:-k]
+            np.minimum(best[k:], d[:-k] + cost, out=best[k:], where=same)
+            np.minimum(best[:-k], d[k:] + cost, out=best[:-k], where=same)
+        pdf = pdf.assign(d=best)
+        if axis < len(axes) - 1:
+            return pdf
+        pdf["d"] = np.sqrt(best)
+        return pdf.sort_values(["d", *axes], ascending=[False, *[True] * len(axes)]).drop_duplicates("label")
 
     return run
 
 
+def deepest(vol: Volume, rows: DataFrame, step: Sequence[float]) -> DataFrame:
+    """(label, deep_*): of each object in ``rows`` (label, axes) the voxel that is farthest from outside, first in C order.
+
+    Exact, an axis at a time: a group has whole lines along it, so its size follows from that axis alone, not from an object's extent.
+    """
+    axes = vol.axes
+    rows = rows.select("label", *axes, F.lit(float("inf")).alias("d"))
+    for axis, a in enumerate(axes):
+        lines, tile = max(1, LINES // max(1, vol.shape[axis])), []
+        for b, n in reversed([(b, n) for b, n in zip(axes, vol.shape) if b != a]):
+            side = min(max(1, n), lines)
+            lines //= side
+            lines = max(1, lines)
+            tile.append(F.floor(F.col(b) / side).alias(f"_t_{b}"))
+        rows = (rows.groupBy(*tile) if tile else rows.groupBy()).applyInPandas(_line_pass(axes, axis, step[axis]), rows.schema)
+    best = rows.groupBy("label").agg(F.min(F.struct((-F.col("d")).alias("d"), *axes)).alias("b"))
+    return best.select("label", *[F.col(f"b.{a}").alias(f"deep_{a}") for a in axes])
+
+
 def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, compute_surface: bool = False, item_ids: Sequence[int] | None = None, output_path: str | None = None) -> DataFrame:
     """Features of each row of ``table`` (the volume's ``morphology`` by default), in its labels' order.
 
@@ -151,7 +194,7 @@ def regionprops(vol: Volume, table: DataFrame | None = None, resolution=None, co
     moments = rows.groupBy("label").agg(*[F.covar_pop(F.col(axes[i]).cast(D) * step[i], F.col(axes[j]).cast(D) * step[j]).alias(f"_m{i}{j}") for i in range(vol.ndim) for j in range(i, vol.ndim)])
     near = base.select("label", *[F.rint(f"com_{a}").cast("bigint").alias(a) for a in axes])
     missed = near.join(rows, ["label", *axes], "left_anti").select("label")
-    deep = rows.join(missed, "label", "left_semi").groupBy("label").applyInPandas(_deepest(axes, step), "label bigint, " + ", ".join(f"deep_{a} bigint" for a in axes))
+    deep = deepest(vol, rows.join(missed, "label", "left_semi"), step)
     out = base.join(moments, "label", "left").join(deep, "label", "left")
     m = {(i, j): F.col(f"_m{min(i, j)}{max(i, j)}") for i in range(vol.ndim) for j in range(vol.ndim)}
     area = F.col("size") * math.prod(step)
