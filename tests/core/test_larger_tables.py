@@ -88,3 +88,12 @@ def test_deepest_voxels_line_by_line(spark, monkeypatch):
     pdf = rows.toPandas().assign(d=np.inf)
     whole = morphology._line_pass(vol.axes, 0, 1.0)(pdf)
     assert len(whole) == len(pdf) and whole["d"].max() < np.inf
+
+
+def test_stitching_solves_once(spark, tmp_path):
+    """Reading the result looks ids up in a table; the solver does not run again."""
+    v = np.random.default_rng(6).normal(0, 0.2, (260, 64))
+    df = QUERIES["stitch_segmentation"](spark, embeddings(spark, tmp_path, v))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString().replace("stitch_tiles", "")
+    got = array(df, v.shape)
+    assert ((got == 0) == (v <= 0.05)).all() and set(np.unique(got)) == set(range(int(got.max()) + 1))

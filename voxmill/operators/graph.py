@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.plans.durable import connected_components, materialize
+from voxmill.plans.durable import connected_components, in_groups, materialize
 from voxmill.volume import Volume
 
 
@@ -251,10 +251,9 @@ def _solve_parts(edges: DataFrame, solver) -> DataFrame:
     inner = flat.join(of("u"), "u").join(of("v"), "v").where("r_u = r_v").select(F.col("r_u").alias("root"), "u", "v", "cost")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["u", "v"])
         return pd.DataFrame(_numbered(solver(list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["cost"].tolist())))), columns=["node", "cluster"], dtype="int64")
 
-    solved = inner.groupBy("root").applyInPandas(run, "node bigint, cluster bigint")
+    solved = in_groups(inner, "root", ["u", "v"], run, "node bigint, cluster bigint")
     nodes = flat.select(F.col("u").alias("node")).union(flat.select("v")).distinct()
     return nodes.join(solved, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 

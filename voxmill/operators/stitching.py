@@ -12,24 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.graph import multicut_decomposition, probabilities_to_costs, region_adjacency
-from voxmill.operators.relabel import relabel_consecutive
+from voxmill.operators.relabel import relabel
 from voxmill.operators.stencil import explode_halo, normalize_halo
-from voxmill.plans.durable import materialize
+from voxmill.plans.durable import materialize, with_prefix
 from voxmill.volume import Volume, axis_names, block_grid
 
 
-def _stitch(seg: Volume, overlaps: DataFrame, beta: float, with_background: bool) -> Volume:
-    """Labels of ``seg`` joined: edges of touching labels default to 0.9, measured ones to 1 - overlap; with a background its edges to 0.99."""
+def _clusters(seg: Volume, overlaps: DataFrame, beta: float, with_background: bool) -> DataFrame:
+    """(node, cluster) of labels that belong together: edges of touching labels default to 0.9, measured ones to 1 - overlap; with a background its edges to 0.99."""
     rag = region_adjacency(seg).select("u", "v")
     measured = overlaps.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "fraction").groupBy("u", "v").agg(F.max("fraction").alias("fraction"))
     edges = rag.join(measured, ["u", "v"], "left").withColumn("p", F.coalesce(1 - F.col("fraction"), F.lit(0.9)))
     if with_background:
         edges = edges.withColumn("p", F.when((F.col("u") == 0) | (F.col("v") == 0), 0.99).otherwise(F.col("p")))
-    solved = multicut_decomposition(edges.select("u", "v", probabilities_to_costs(F.col("p"), beta).alias("cost")))
-    both = seg.df.join(solved, F.col("v") == F.col("node"), "left")
+    return multicut_decomposition(edges.select("u", "v", probabilities_to_costs(F.col("p"), beta).alias("cost")))
+
+
+def _stitch(seg: Volume, overlaps: DataFrame, beta: float, with_background: bool, start: int | None = None) -> Volume:
+    """Labels of ``seg`` joined; with ``start`` made consecutive from there, in the table of labels, so that voxels are only read once more."""
+    clusters = _clusters(seg, overlaps, beta, with_background)
     value = F.coalesce("cluster", "v")
-    value = F.when(F.col("v") == 0, F.lit(0)).otherwise(value) if with_background else value
-    return replace(seg, df=both.select(*seg.axes, value.cast("bigint").alias("v")), dtype="uint64")
+    value = (F.when(F.col("v") == 0, F.lit(0)).otherwise(value) if with_background else value).cast("bigint")
+    if start is None:
+        both = seg.df.join(clusters, F.col("v") == F.col("node"), "left")
+        return replace(seg, df=both.select(*seg.axes, value.alias("v")), dtype="uint64")
+    labels = seg.df.select("v").distinct().join(clusters, F.col("v") == F.col("node"), "left")
+    labels = materialize(labels.select(F.col("v").alias("label"), value.alias("joined")), "stitch_labels")
+    ranks = with_prefix(labels.select("joined").distinct(), ["joined"], [], "stitch_ranks")
+    new = F.col("row_index") + start
+    new = (F.when(F.col("joined") == 0, F.lit(0)).otherwise(new) if with_background else new).cast("bigint")
+    return relabel(seg, materialize(labels.join(ranks, "joined").select(F.col("label").alias("old"), new.alias("new")), "stitch_map"))
 
 
 def stitch_tiled_segmentation(segmentation: Volume, tile_shape: Sequence[int], overlap: int = 1, with_background: bool = True, beta: float = 0.5) -> Volume:
@@ -97,8 +109,14 @@ def stitch_segmentation(vol: Volume, segmentation_function: Callable, tile_shape
     rows = explode_halo(vol, (*tile, *channels), (*halo, *[0] * len(channels)))
     tiled = materialize(rows.groupBy("_block").applyInPandas(run, "tile bigint, " + ", ".join(f"{a} bigint" for a in axes) + ", v bigint, inner boolean"), "stitch_tiles")
     raw = replace(vol, df=tiled.where("inner").select(*axes, "v"), shape=shape, dtype="uint64", fill=0, block_shape=tile)
-    left = tiled.select("tile", *axes, F.col("v").alias("u"))
-    right = tiled.select(F.col("tile").alias("tile2"), *axes, "v")
+    # only voxels near a face lie in several tiles
+    shared = F.lit(False)
+    for a, t, h, n in zip(axes, tile, halo, tiles):
+        low, high = F.greatest(F.floor((F.col(a) - h) / t), F.lit(0)), F.least(F.floor((F.col(a) + h) / t), F.lit(n - 1))
+        shared = shared | (low < high)
+    near = tiled.where(shared)
+    left = near.select("tile", *axes, F.col("v").alias("u"))
+    right = near.select(F.col("tile").alias("tile2"), *axes, "v")
     both = left.join(right, list(axes)).where("tile < tile2")
     if with_background:
         both = both.where("v <> 0")
@@ -106,6 +124,6 @@ def stitch_segmentation(vol: Volume, segmentation_function: Callable, tile_shape
     sizes = both.groupBy("tile", "tile2", "v").agg(F.count(F.lit(1)).alias("s"))
     overlaps = pairs.join(sizes, ["tile", "tile2", "v"]).select("u", "v", (F.col("n") / F.col("s")).alias("fraction"))
     overlaps = overlaps.where("u <> 0") if with_background else overlaps
-    done = relabel_consecutive(_stitch(raw, overlaps, beta, with_background), start_label=0 if with_background else 1, keep_zeros=with_background)[0]
+    done = _stitch(raw, overlaps, beta, with_background, 0 if with_background else 1)
     return (done, raw) if return_before_stitching else done
 

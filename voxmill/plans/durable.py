@@ -183,6 +183,26 @@ def with_prefix(df: DataFrame, keys: list[str], sums: list[str], name: str) -> D
     return out.select(*df.columns, (F.col("_row") + F.col("_o")).alias("row_index"), *[(F.col(f"_run_{c}") + F.col(f"_o_{c}")).alias(f"pre_{c}") for c in sums])
 
 
+#: Rows of small keys that a group of ``in_groups`` has, about.
+GROUP = 20_000
+
+
+def in_groups(df: DataFrame, key: str, order: list[str], f, schema: str) -> DataFrame:
+    """``f`` on the rows of each value of the long ``key``, sorted by ``order``: many values to a group, so that small ones cost no group each."""
+    import pandas as pd
+
+    df = materialize(df, "groups")
+    groups = max(1, -(-df.count() // GROUP))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, *order], ignore_index=True)
+        k = pdf[key].to_numpy()
+        cuts = [0, *((k[1:] != k[:-1]).nonzero()[0] + 1).tolist(), len(k)]
+        return pd.concat([f(pdf.iloc[i:j]) for i, j in zip(cuts, cuts[1:])], ignore_index=True)
+
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_group")).applyInPandas(run, schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``; root is the component's least node.
 
