@@ -97,3 +97,26 @@ def test_stitching_solves_once(spark, tmp_path):
     assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString().replace("stitch_tiles", "")
     got = array(df, v.shape)
     assert ((got == 0) == (v <= 0.05)).all() and set(np.unique(got)) == set(range(int(got.max()) + 1))
+
+
+def test_matching_in_few_groups(spark):
+    """As many pairs as augmenting paths find; components share groups, and lone edges need none."""
+    from voxmill.operators.evaluation import matched_pairs
+
+    rng = np.random.default_rng(7)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 300, (400, 2))} | {(1000 + i, 1000 + i) for i in range(50)})
+    out = matched_pairs(spark.createDataFrame(edges + edges[:3], "a long, b long"))
+    assert "_group" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in out.collect()]
+    partner: dict = {}
+
+    def augment(a, seen):
+        for b in [y for x, y in edges if x == a and y not in seen]:
+            seen.add(b)
+            if b not in partner or augment(partner[b], seen):
+                partner[b] = a
+                return True
+        return False
+
+    most = sum(augment(a, set()) for a in sorted({a for a, _ in edges}))
+    assert len(got) == most == len({a for a, _ in got}) == len({b for _, b in got}) and set(got) <= set(edges)

@@ -152,19 +152,25 @@ def _hopcroft_karp(edges: list[tuple]) -> list[tuple]:
 
 
 def matched_pairs(edges: DataFrame) -> DataFrame:
-    """A maximum matching of ``edges(a, b)`` (long ids of two sides): components first, then each by itself."""
+    """A maximum matching of ``edges(a, b)`` (long ids of two sides): components first, then each by itself.
+
+    An edge that shares neither end with another is its own component and matched; most are, and only the rest needs
+    components. Those are solved many to a group, as a group costs more than a small component.
+    """
     from voxmill.operators.components import connected_components
-    from voxmill.plans.durable import materialize
+    from voxmill.plans.durable import in_groups, materialize
 
-    tagged = materialize(edges.select("a", "b", (F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v")), "match_edges")
-    roots = connected_components(tagged.select("u", "v"))
-    placed = tagged.join(roots, tagged["u"] == roots["node"]).select("root", "a", "b")
+    tagged = materialize(edges.select("a", "b", (F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v")).distinct(), "match_edges")
+    of = lambda c, n: tagged.groupBy(c).agg(F.count(F.lit(1)).alias(n))
+    counted = materialize(tagged.join(of("a", "n_a"), "a").join(of("b", "n_b"), "b").withColumn("lone", (F.col("n_a") == 1) & (F.col("n_b") == 1)), "match_counts")
+    rest = counted.where(~F.col("lone"))
+    roots = connected_components(rest.select("u", "v"))
+    placed = rest.join(roots, F.col("u") == F.col("node")).select("root", "a", "b")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
         return pd.DataFrame(_hopcroft_karp(list(zip(pdf["a"].tolist(), pdf["b"].tolist()))), columns=["a", "b"], dtype="int64")
 
-    return placed.groupBy("root").applyInPandas(solve, "a long, b long")
+    return counted.where("lone").select("a", "b").unionByName(in_groups(placed, "root", ["a", "b"], solve, "a long, b long"))
 
 
 def _rates(tp: Column, n_a: Column, n_b: Column) -> list[Column]:
